@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker turns into numpy arrays at once.
@@ -46,6 +47,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows can be found again by file and row; else a copy on shared storage that can."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return written(docs, "contents")
+
+
+def with_locator(docs: DataFrame, *cols: Column) -> DataFrame:
+    return docs.select(*cols, F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that go to Python workers by rows and bytes, unless the session asks for less."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

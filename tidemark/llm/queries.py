@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_sentencepiece, op4_sharding
+from . import op1_exact_dedup, op3_sentencepiece, op4_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup.op1_exact_dedup,
     "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
     "op4_sharding": op4_sharding.op4_sharding,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": op4_sharding.oracle_sql()}
+    return {"op1_exact_dedup": op1_exact_dedup.ORACLE_SQL, "op4_sharding": op4_sharding.oracle_sql()}
