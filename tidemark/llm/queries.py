@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_exact_dedup, op3_sentencepiece, op4_sharding, op10_minhash
+from . import op1_exact_dedup, op3_sentencepiece, op4_sharding, op9_url_filter, op10_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup.op1_exact_dedup,
     "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
     "op4_sharding": op4_sharding.op4_sharding,
+    "op9_url_filter": op9_url_filter.op9_url_filter,
     "op10_minhash": op10_minhash.op10_minhash,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": op1_exact_dedup.ORACLE_SQL, "op4_sharding": op4_sharding.oracle_sql()}
+    return {"op1_exact_dedup": op1_exact_dedup.ORACLE_SQL, "op4_sharding": op4_sharding.oracle_sql(), "op9_url_filter": op9_url_filter.oracle_sql()}
