@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_exact_dedup, op3_sentencepiece, op4_sharding, op5_secrets, op6_decontaminate, op7_language_id, op8_quality, op9_url_filter, op10_minhash
+from . import op1_exact_dedup, op2_html_text, op3_sentencepiece, op4_sharding, op5_secrets, op6_decontaminate, op7_language_id, op8_quality, op9_url_filter, op10_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup.op1_exact_dedup,
+    "op2_html_text": op2_html_text.op2_html_text,
     "op3_sentencepiece": op3_sentencepiece.op3_sentencepiece,
     "op4_sharding": op4_sharding.op4_sharding,
     "op5_secrets": op5_secrets.op5_secrets,
