@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import located, scratch, table, whole_text, with_locator, written
+from .rows import without
 
 #: Session settings while the stream runs: state on disk, its memory shared and bounded.
 STATE = {
@@ -110,9 +111,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = located(docs)
-    stays = decide(docs, id_col, text_col).where("kept").select(F.col("path").alias("path__"), F.col("row").alias("row__"))
-    out = docs.select("*", F.col("_metadata.file_path").alias("at_path__"), F.col("_metadata.row_index").alias("at_row__"))
-    return out.join(stays, (F.col("at_path__") == F.col("path__")) & (F.col("at_row__") == F.col("row__")), "left_semi").drop("at_path__", "at_row__")
+    return without(docs, decide(docs, id_col, text_col).where("not kept"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
