@@ -8,11 +8,11 @@ is its value. If a coordinate stays empty, the bound is doubled. The work is abo
 two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Joining. Equal texts are one node. Nodes that share a band (``ROWS`` coordinates, ``BANDS`` bands) meet in a bucket.
-No bucket is expanded into pairs: its members are compared exactly with one representative (a star), and links join
-nodes into components. Where a bucket still has several components, the metric settles it: the distances to the
-representative of two linked texts differ by 1 - similarity at most, so the bucket is split at wider gaps, and what
-stays mixed gets representatives from its smallest components, round by round, until every bucket has one component
-or all its members have been compared. No partner is left out and no count is capped.
+No bucket is expanded into pairs: its members are compared exactly with one representative (a star), the one that meets
+most others over all buckets, and links join nodes into components. Where a bucket still has several components, the metric settles it: the distances to the
+representative of two linked texts differ by 1 - similarity at most, so the bucket is split at wider gaps; members whose
+own shingles leave too little to share go; and what stays mixed gets representatives from its smallest components, four times as many in each round, against members that can share enough, until every bucket
+has one component or all its members have been compared. No partner is left out and no count is capped.
 
 Null text counts as empty. Texts without words are classes of their equals. Repeated rows and repeated or null ids
 are members like any other. An empty table gives an empty result. Extra columns are not read.
@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, blocks, located, mix, scratch, table, whole_text, with_locator, written
-from .shingles import jaccard, shingles, weighted, words
+from .rows import without
+from .shingles import overlaps, shingles, weighted, words
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Representatives that a mixed bucket gets in one round; rounds go on until no bucket is mixed.
-REPRESENTATIVES = 4
+#: Texts whose darts are thrown at once.
+TEXTS = 256
+#: Representatives that a mixed bucket gets in the first round; rounds go on until no bucket is mixed.
+REPRESENTATIVES = 64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,8 +101,11 @@ def sketches(docs: DataFrame, text_col: str, id_col: str, n: int, bands: int, ro
         for batch in batches:
             for part, texts in blocks(batch, 4, 1_000_000):
                 keys, weights = weighted(*shingles(*words(texts), n))
-                signature, has = dart_minhash(keys, weights, len(texts), bands * rows)
-                key = band_keys(signature, bands, rows)
+                cut = [*range(0, len(texts), TEXTS), len(texts)]  # short texts have as many darts as long ones
+                at = np.searchsorted(keys, np.asarray(cut, np.uint64) << np.uint64(44))
+                signed = [dart_minhash(keys[i:j] - (np.uint64(a) << np.uint64(44)), weights[i:j], b - a, bands * rows) for a, b, i, j in zip(cut, cut[1:], at, at[1:], strict=False)]
+                has = np.concatenate([h for _, h in signed])
+                key = band_keys(np.concatenate([x for x, _ in signed]), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(key.ravel()), mask=pa.array(~has))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=["node", "doc_id", "path", "row", "bands"])
 
@@ -107,7 +113,7 @@ def sketches(docs: DataFrame, text_col: str, id_col: str, n: int, bands: int, ro
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """a, b, sim of each pair: exact weighted Jaccard similarity of whole texts. texts: nid, text."""
+    """a, b, sim, both, size_b of each pair, from whole texts: weighted Jaccard similarity, shared weight, weight of b. texts: nid, text."""
     side = lambda c: texts.select(F.col("nid").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("b").hint("shuffle_hash"), "b").join(side("a").hint("shuffle_hash"), "a").select("a", "b", "text_a", "text_b")
 
@@ -116,23 +122,42 @@ def similarities(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             for part, right in blocks(batch, 3, 500_000):
                 for more, left in blocks(part, 2, 500_000):
                     at = more.column(3).to_pylist() if len(left) < len(right) else right
-                    yield pa.RecordBatch.from_arrays([more.column(0), more.column(1), pa.array(jaccard(left, at, n))], names=["a", "b", "sim"])
+                    shared, wa, wb = overlaps(left, at, n)
+                    sim = np.where(wa + wb > 0, shared / np.maximum(wa + wb - shared, 1), 0.0)
+                    yield pa.RecordBatch.from_arrays([more.column(0), more.column(1), pa.array(sim), pa.array(shared), pa.array(wb)], names=["a", "b", "sim", "both", "size_b"])
 
-    return both.mapInArrow(work, "a long, b long, sim double")
+    return both.mapInArrow(work, "a long, b long, sim double, both long, size_b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """nid, comp (least nid of its component) of every node of an edge. edges: a, b.
+def shares(texts: DataFrame, n: int) -> DataFrame:
+    """nid, token: a row for each unit of weight of each shingle of a text. texts: nid, text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in blocks(batch, 1, 500_000):
+                keys, weights = weighted(*shingles(*words(found), n))
+                at = np.repeat(np.arange(len(keys)), weights)
+                unit = np.arange(len(at)) - np.repeat(np.cumsum(weights) - weights, weights)
+                token = mix((keys[at] & np.uint64((1 << 44) - 1)) + unit.astype(np.uint64) * _GOLDEN)
+                owner = part.column(0).to_numpy()[(keys[at] >> np.uint64(44)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(token.view(np.int64))], names=["nid", "token"])
+
+    return texts.select("nid", "text").mapInArrow(work, "nid long, token long")
+
+
+def components(edges: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """nid, comp (least nid of its component) of every node of an edge. edges: a, b; ``most_rows``: of them, if known.
 
     Labels take the least label next to them, then jump to their label's label; a few rounds for star-like graphs.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("nid"), F.least("a", "l").alias("comp")), "labels")
+    most = None if most_rows is None else 2 * most_rows
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", most)
+    labels = written(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("nid"), F.least("a", "l").alias("comp")), "labels", most)
     while True:
         near = both.join(labels, both.b == labels.nid).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels.nid == near.a).select("nid", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
         jump = labels.select(F.col("nid").alias("to"), F.col("comp").alias("over"))
-        new = written(step.join(jump, "to", "left").select("nid", F.least("to", F.coalesce("over", "to")).alias("comp"), "was"), "labels")
+        new = written(step.join(jump, "to", "left").select("nid", F.least("to", F.coalesce("over", "to")).alias("comp"), "was"), "labels", most)
         labels = new.select("nid", "comp")
         if new.where("comp <> was").isEmpty():
             return labels
@@ -148,57 +173,110 @@ class Classes:
         first = F.min(F.struct("doc_id", "path", "row"))
         self.nodes = written(self.sketch.groupBy("node").agg(first.alias("at"), F.first("bands").alias("bands")).select(F.monotonically_increasing_id().alias("nid"), "node", "at", "bands"), "nodes")
         banded = self.nodes.select("nid", F.explode("bands").alias("key"))
-        stars = banded.groupBy("key").agg(F.min("nid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rep")
-        self.members = written(banded.join(stars, "key"), "buckets")
+        sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = written(banded.join(sizes, "key"), "shared")
+        # the member that meets most others over all its buckets is the likeliest to have links to the rest
+        central = shared.groupBy("nid").agg(F.sum("n").alias("meets"))
+        stars = shared.join(central, "nid").groupBy("key").agg(F.max(F.struct("meets", (-F.col("nid")).alias("nid"))).alias("r"))
+        self.members = written(shared.select("key", "nid").join(stars.select("key", (-F.col("r.nid")).alias("rep")), "key"), "buckets")
+        self.n_members = self.members.count()
         ids = self.members.select("nid").distinct().join(self.nodes.select("nid", "at"), "nid").select("nid", F.col("at.path").alias("path"), F.col("at.row").alias("row"))
         contents = with_locator(docs, whole_text(text_col).alias("text"))
         self.texts = written(contents.join(ids, ["path", "row"]).select("nid", "text"), "texts")
-        self.tested: DataFrame | None = None
         self.rounds = 0
         self.comps = self._link()
 
-    def _test(self, pairs: DataFrame) -> None:
-        new = written(similarities(pairs, self.texts, self.n), "similarities")
-        self.tested = new if self.tested is None else self.tested.union(new)
-
     def links(self) -> DataFrame:
         return self.tested.where(F.col("sim") >= self.similarity)
 
-    def _mixed(self, members: DataFrame, comps: DataFrame) -> DataFrame:
-        """Members (key, nid, comp) of the buckets that have several components."""
-        known = members.join(comps, "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp"))
+    def _mixed(self, known: DataFrame) -> DataFrame:
+        """Members of the buckets that have several components."""
         several = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        return written(known.join(several, "key", "left_semi"), "mixed")
+        return written(known.join(several, "key", "left_semi").select("key", "nid", "rep", "bin", "size", "with_rep", "rest", "comp"), "mixed", self.n_members)
 
     def _link(self) -> DataFrame:
-        self._test(self.members.where("nid <> rep").select(F.col("rep").alias("a"), F.col("nid").alias("b")).distinct())
-        comps = components(self.links())
-        mixed = self._mixed(self._split(), comps)
+        stars = self.members.where("nid <> rep").select(F.col("rep").alias("a"), F.col("nid").alias("b")).distinct()
+        self.tested = written(similarities(stars, self.texts, self.n), "similarities")
+        comps = components(self.links(), self.n_members)
+        mixed = self._mixed(self._split().join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid")).withColumn("rest", F.col("size") - F.col("with_rep")))
+        if not mixed.isEmpty():
+            mixed = self._possible(mixed)
+        many, gap = REPRESENTATIVES, self._gap()
         while not mixed.isEmpty():
             self.rounds += 1
-            small = mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("a"))
-            # the smallest component of each of a few slices of a bucket's components has the next representatives
-            slices = small.groupBy("key", F.pmod(F.xxhash64("comp"), F.lit(REPRESENTATIVES)).alias("slice"))
-            reps = written(slices.agg(F.min_by(F.struct("comp", "a"), F.struct("n", "comp")).alias("r")).select("key", F.col("r.comp").alias("c"), F.col("r.a").alias("a")), "reps")
-            pairs = mixed.join(reps, "key").where("comp <> c").select(F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct()
+            sized = mixed.join(mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")), ["key", "comp"])
+            # of each of a few slices of a bucket, a member of the smallest component
+            slices = sized.groupBy("key", F.pmod(F.xxhash64("nid"), F.lit(many)).alias("slice"))
+            traits = ["comp", "nid", "bin", "size", "with_rep", "rest"]
+            reps = slices.agg(F.min_by(F.struct(*traits), F.struct("n", F.xxhash64("nid"))).alias("r")).select("key", *[F.col(f"r.{c}").alias(f"r_{c}") for c in traits])
+            reps = written(reps, "reps", self.n_members)
+            pairs = mixed.join(reps, "key").where((F.col("comp") != F.col("r_comp")) & (F.abs(F.col("bin") - F.col("r_bin")) < gap) & self._can_link())
+            pairs = pairs.select(F.least("r_nid", "nid").alias("a"), F.greatest("r_nid", "nid").alias("b")).distinct()
             known = self.tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            self._test(pairs.join(known, ["a", "b"], "left_anti"))
-            comps = components(self.links())
-            rest = mixed.join(reps.select("key", F.col("a").alias("nid")), ["key", "nid"], "left_anti")
-            mixed = self._mixed(rest.select("key", "nid"), comps)
+            new = written(similarities(pairs.join(known, ["a", "b"], "left_anti"), self.texts, self.n), "similarities")
+            self.tested = written(self.tested.union(new), "similarities", self.tested.count() + new.count())
+            mixed = mixed.join(reps.select("key", F.col("r_nid").alias("nid")), ["key", "nid"], "left_anti")
+            found = new.where(F.col("sim") >= self.similarity).select("a", "b")
+            if not found.isEmpty():
+                comps, to = self._merged(comps, found, new.count())
+                mixed = mixed.join(to, mixed.comp == to.old, "left").withColumn("comp", F.coalesce("new", "comp"))
+            mixed = self._mixed(mixed)
+            many *= 4
         return comps
 
+    def _can_link(self):
+        """Whether a member and a bucket's new representative can share enough, by what each shares with the first one.
+
+        They share at most the lesser of their shares of it, and the lesser of what else others may have of them (rest).
+        """
+        most = F.least("with_rep", "r_with_rep") + F.least("rest", "r_rest")
+        return most * (1 + self.similarity) >= (F.col("size") + F.col("r_size")) * self.similarity - 1e-6
+
+    def _possible(self, mixed: DataFrame) -> DataFrame:
+        """Mixed buckets with ``rest`` less the shingles that no other text has, and without members that can't have a link there.
+
+        A text of size x of which u is its own alone shares x - u at most; a similarity of t needs t / (1 + t) of both
+        sizes. So partners have sizes from t * x to (x - u) * (1 + t) / t - x, and a member goes if the bucket has none.
+        """
+        ids = mixed.select("nid").union(mixed.select("rep")).distinct()
+        counted = shares(self.texts.join(ids, "nid", "left_semi"), self.n)
+        alone = counted.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.min("nid").alias("nid")).where("texts = 1")
+        alone = written(alone.groupBy("nid").agg(F.count(F.lit(1)).alias("alone")), "alone", self.n_members)
+        placed = mixed.join(alone, "nid", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        placed = placed.withColumn("rest", F.col("rest") - F.col("alone"))
+        t, x = self.similarity, F.col("size")
+        bin_ = lambda v: F.floor(F.log(v) / np.log(1.02)).cast("int")
+        most = (x - F.col("alone")) * ((1 + t) / t) - x
+        high = F.when(most > 0, bin_(F.least(most, x / t) + 1e-6)).otherwise(-1)
+        placed = placed.withColumns({"own": bin_(x), "low": bin_(x * t - 1e-6), "high": high})
+        bins = placed.groupBy("key").agg(F.collect_set("own").alias("bins"))  # a few hundred bins at most
+        return self._mixed(placed.join(bins, "key").where(F.exists("bins", lambda b: (b >= F.col("low")) & (b <= F.col("high")))))
+
+    @staticmethod
+    def _merged(comps: DataFrame, found: DataFrame, most_rows: int) -> tuple[DataFrame, DataFrame]:
+        """Components with new links, and old -> new labels of those that changed."""
+        of = lambda c: comps.select(F.col("nid").alias(c), F.col("comp").alias(f"comp_{c}"))
+        ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        ends = written(ends.select("a", "b", F.coalesce("comp_a", "a").alias("ca"), F.coalesce("comp_b", "b").alias("cb")), "ends", most_rows)
+        to = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")), most_rows).select(F.col("nid").alias("old"), F.col("comp").alias("new"))
+        single = ends.select(F.col("a").alias("nid"), F.col("ca").alias("comp")).union(ends.select(F.col("b").alias("nid"), F.col("cb").alias("comp"))).distinct()
+        every = comps.union(single.join(comps, "nid", "left_anti"))
+        return written(every.join(to, every.comp == to.old, "left").select("nid", F.coalesce("new", "comp").alias("comp")), "labels", comps.count() + 2 * most_rows), to
+
+    def _gap(self) -> int:
+        """Least difference in hundredths between distances to one text whose two texts can't be linked."""
+        return int(np.ceil((1 - self.similarity) * 100 - 1e-9)) + 1
+
     def _split(self) -> DataFrame:
         """Buckets without their representatives, which have met all members, split where distances to it leave a gap that no link spans."""
         near = self.members.where("nid <> rep").join(self.tested, (F.col("rep") == F.col("a")) & (F.col("nid") == F.col("b")))
-        near = written(near.select("key", "nid", F.floor((1 - F.col("sim")) * 100).cast("int").alias("bin")), "distances")
+        near = near.select("key", "nid", "rep", F.floor((1 - F.col("sim")) * 100).cast("int").alias("bin"), F.col("size_b").alias("size"), F.col("both").alias("with_rep"))
+        near = written(near, "distances", self.n_members)
         bins = near.groupBy("key").agg(F.sort_array(F.collect_set("bin")).alias("bins"))  # 101 bins at most
-        gap = int(round((1 - self.similarity) * 100)) + 1
-        starts = F.expr(f"filter(bins, (b, i) -> i = 0 or b - bins[i - 1] >= {gap})")
+        starts = F.expr(f"filter(bins, (b, i) -> i = 0 or b - bins[i - 1] >= {self._gap()})")
         cut = bins.select("key", starts.alias("starts"))
-        cut_near = near.join(cut, "key")
         part = F.expr("size(filter(starts, s -> s <= bin))")
-        return cut_near.select(F.xxhash64("key", part).alias("key"), "nid")
+        return near.join(cut, "key").select(F.xxhash64("key", part).alias("key"), "nid", "rep", "bin", "size", "with_rep")
 
     def membership(self) -> DataFrame:
         """path, row, doc_id, class_id (least doc_id of the class), text_id (least doc_id of the equal texts), keeps (one row of a class)."""
@@ -213,9 +291,7 @@ class Classes:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each class of near-duplicates, with all its columns."""
     docs = located(docs)
-    stays = Classes(docs, id_col, text_col, **how).membership().where("keeps").select(F.col("path").alias("path__"), F.col("row").alias("row__"))
-    out = docs.select("*", F.col("_metadata.file_path").alias("at_path__"), F.col("_metadata.row_index").alias("at_row__"))
-    return out.join(stays, (F.col("at_path__") == F.col("path__")) & (F.col("at_row__") == F.col("row__")), "left_semi").drop("at_path__", "at_row__")
+    return without(docs, Classes(docs, id_col, text_col, **how).membership().where("not keeps"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

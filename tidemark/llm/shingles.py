@@ -64,13 +64,18 @@ def weighted(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return key[first], np.diff(np.concatenate([first, [len(key)]]))
 
 
-def jaccard(left: list[str], right: list[str], n: int) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle counts of each pair of texts; 0 where neither has a word."""
+def overlaps(left: list[str], right: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of texts: weight of what their shingle counts share, weight of the left, of the right."""
     a, wa = weighted(*shingles(*words(left), n))
     b, wb = weighted(*shingles(*words(right), n))
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     size = len(left)
     pair = lambda k: (k >> np.uint64(44)).astype(np.int64)
-    both = np.bincount(pair(a[i]), np.minimum(wa[i], wb[j]), size)
-    either = np.bincount(pair(a), wa, size) + np.bincount(pair(b), wb, size) - both
-    return np.where(either > 0, both / np.maximum(either, 1), 0.0)
+    total = lambda k, w: np.bincount(pair(k), w, size).astype(np.int64)
+    return total(a[i], np.minimum(wa[i], wb[j])), total(a, wa), total(b, wb)
+
+
+def jaccard(left: list[str], right: list[str], n: int) -> np.ndarray:
+    """Weighted Jaccard similarity of the shingle counts of each pair of texts; 0 where neither has a word."""
+    both, a, b = overlaps(left, right, n)
+    return np.where(a + b > 0, both / np.maximum(a + b - both, 1), 0.0)
