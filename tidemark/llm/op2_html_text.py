@@ -12,7 +12,8 @@ classes and ids say (navigation, footer, notice, advert, form, comments, ... aga
 which branches go; a branch goes whole. What is left is one line for each block, in page order.
 
 Counts are summed by (host, place, style) and (host, place, text) before the shuffle, so a hot host costs each task a row
-for each. A page meets its decisions by its own few places; no host's pages or places are gathered in one task.
+for each. The removed places of a host meet its pages as a short list (Spark broadcasts these lists if they are small);
+where a host has more than ``HOST_PLACES``, each page meets its own places only.
 
 Null html counts as empty and has an empty text; a null or odd url has an empty host. Repeated rows count as often as they
 occur. An empty table gives an empty result. Extra columns stay, but for the html and ones named ``text``.
@@ -48,6 +49,8 @@ NOISE = set("ad ads adv advert advertisement advertising banner breadcrumb bread
 CONTENT = set("article articlebody body content entry main maincontent post postbody story text".split())
 #: Documents that the overall importance of a path weighs as; how far importance moves the log odds, and pages for full trust.
 WEIGHT, PULL, TRUSTED, GAMMA = 10.0, 4.0, 32, 0.9
+#: Removed places of a host that its pages may carry as one list.
+HOST_PLACES = 1_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -100,6 +103,8 @@ class Parser:
         else:
             prior = PLAIN
         path = f"{parent.path}/{tag}" + "".join(f".{w}" for w in sorted(set(words))[:4])
+        if hidden:
+            path += ".(hidden)"
         if len(path) > 400:  # deep pages: what is above is folded into a number
             path = f"{self._id(path)}"
         return Element(tag, path, self._id(path), prior, inside)
@@ -240,9 +245,13 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     """Every row of ``pages`` without its html, with ``text``."""
     read = written(parse(pages, html_col, url_col).withColumn("rid", F.monotonically_increasing_id()), "parsed")
     low = written(importance(read).where("keep_odds < 0").select("host", "node"), "removed")
-    places = read.select("rid", "host", F.explode("places.node").alias("node"))
-    gone = places.join(low, ["host", "node"], "left_semi").groupBy("rid").agg(F.collect_set("node").alias("gone"))  # places of one page
-    known = read.join(gone, "rid", "left")
+    many = low.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOST_PLACES).select("host")
+    few = low.join(many, "host", "left_anti").groupBy("host").agg(F.collect_set("node").alias("gone"))  # HOST_PLACES at most
+    known = read.join(written(few, "removed"), "host", "left")
+    if not many.isEmpty():  # hosts with more are decided by each page's own places
+        places = read.join(many, "host", "left_semi").select("rid", "host", F.explode("places.node").alias("node"))
+        own = places.join(low, ["host", "node"], "left_semi").groupBy("rid").agg(F.collect_set("node").alias("own"))
+        known = known.join(own, "rid", "left").withColumn("gone", F.coalesce("gone", "own"))
     left = F.filter("blocks", lambda b: F.coalesce(~F.arrays_overlap(b["chain"], F.col("gone")), F.lit(True)))
     return known.select("row_.*", F.array_join(F.transform(left, lambda b: b["line"]), "\n").alias("text"))
 
