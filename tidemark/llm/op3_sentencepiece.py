@@ -58,11 +58,12 @@ class ChunkTable:
         new = [c for c in chunks if c not in self.rows]
         if not new:
             return
-        ids = self.sp.encode([c[1:] for c in new], num_threads=1)
+        # a marker alone ends a text; the library would take what follows it for an empty text
+        ids = [x if c != " " else [self.sp.piece_to_id(MARK)] for c, x in zip(new, self.sp.encode([c[1:] for c in new], num_threads=1), strict=True)]
         at = len(self.rows)
         self.rows.update((c, at + i) for i, c in enumerate(new))
         # decode() drops the marker that encode() put first, and only that one
-        self.texts += [" " + x for x in self.sp.decode(ids, num_threads=1)]
+        self.texts += [" " + x if c != " " else " " for c, x in zip(new, self.sp.decode(ids, num_threads=1), strict=True)]
         self.held += sum(map(len, new))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
