@@ -36,11 +36,14 @@ _LETTER = np.array([chr(i).isalpha() for i in range(0x250)])
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all letter trigrams of the texts, and the index of the text of each. What is no letter reads as a space."""
-    joined = "  ".join(texts).lower() + "  "
+    """Buckets of all letter trigrams of the texts, and the index of the text of each. What is no letter reads as a space.
+
+    A trigram belongs to the text of its middle letter; one space before and two after a text keep texts apart.
+    """
+    joined = " " + "  ".join(texts).lower() + "  "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     # lower() may lengthen a text, so lengths are taken after it
-    sizes = np.array([len(t.lower()) + 2 for t in texts]) if len(joined) != sum(map(len, texts)) + 2 * len(texts) else np.array([len(t) + 2 for t in texts])
+    sizes = np.array([len(t.lower()) + 2 for t in texts]) if len(joined) != sum(map(len, texts)) + 2 * len(texts) + 1 else np.array([len(t) + 2 for t in texts])
     letter = np.where(points < 0x250, _LETTER[np.minimum(points, 0x24F)], True)
     c = np.where(letter, points, 32).astype(np.uint64)
     n = len(c) - 2
@@ -118,22 +121,23 @@ def _normalised(logs: Column) -> Column:
 def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     """path, row, doc_id, lang, posterior, kept. rows: as ``scored`` gives them, on shared storage."""
     k = len(languages)
-    flat = F.array(*[F.lit((1 - UNKNOWN) / k)] * k, F.lit(UNKNOWN)) if k else F.array(F.lit(1.0))
+    uniform = [(1 - UNKNOWN) / k] * k + [UNKNOWN] if k else [1.0]
+    flat = F.array(*map(F.lit, uniform))
     rows = rows.withColumn("suffix", F.regexp_extract(F.coalesce("host", F.lit("")), r"\.([^.]+)$", 1))
     rows = rows.withColumn("own", _normalised(F.zip_with("text_ll", flat, lambda x, p: x + F.log(p))))
     speaks = F.when(F.col("n") > 0, 1.0).otherwise(0.0)  # documents without letters say nothing about their host
     totals = lambda prefix: [F.sum(F.col("own")[i] * speaks).alias(f"{prefix}{i}") for i in range(k + 1)]
     by_host = written(rows.groupBy("host", "suffix").agg(*totals("h")), "hosts")
     by_suffix = by_host.groupBy("suffix").agg(*[F.sum(f"h{i}").alias(f"s{i}") for i in range(k + 1)])
-    whole = by_suffix.agg(*[F.sum(f"s{i}").alias(f"g{i}") for i in range(k + 1)])
+    whole = [x or 0.0 for x in by_host.agg(*[F.sum(f"h{i}") for i in range(k + 1)]).first()]  # one row
+    overall = F.array(*[F.lit((n + p * 10) / (sum(whole) + 10)) for n, p in zip(whole, uniform, strict=True)])
     pack = lambda prefix: F.array(*[F.coalesce(f"{prefix}{i}", F.lit(0.0)) for i in range(k + 1)])
-    overall = whole.select(pack("g").alias("overall")).select(F.zip_with("overall", flat, lambda n, p: (n + p * 10) / (F.aggregate("overall", F.lit(0.0), lambda a, b: a + b) + 10)).alias("overall"))
     smoothed = lambda counts, up, weight: F.zip_with(counts, up, lambda n, p: (n + p * weight) / (F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) + weight))
-    suffixes = by_suffix.join(F.broadcast(overall)).select("suffix", "overall", smoothed(pack("s"), F.col("overall"), SUFFIX_WEIGHT).alias("up"))  # overall: one row
+    suffixes = by_suffix.select("suffix", smoothed(pack("s"), overall, SUFFIX_WEIGHT).alias("up"))
     hosts = written(by_host.join(suffixes, "suffix").where("host is not null").select("host", pack("h").alias("counts"), "up"), "priors")
-    known = rows.join(hosts, "host", "left").join(F.broadcast(overall))
+    known = rows.join(hosts, "host", "left")
     without_own = F.zip_with("counts", "own", lambda n, o: F.greatest(n - o * speaks, F.lit(0.0)))
-    prior = F.when(F.col("counts").isNotNull(), smoothed(without_own, F.col("up"), HOST_WEIGHT)).otherwise(F.col("overall"))
+    prior = F.when(F.col("counts").isNotNull(), smoothed(without_own, F.col("up"), HOST_WEIGHT)).otherwise(overall)
     known = known.withColumn("prior", prior)
     markup = F.array(*[F.when(F.col("declared") == x, TRUST).when(F.col("declared").isin(languages), (1 - TRUST) / max(k - 1, 1)).otherwise(1.0) for x in languages], F.when(F.col("declared").isin(languages), (1 - TRUST) / max(k - 1, 1)).otherwise(1.0))
     logs = F.zip_with(F.zip_with("text_ll", "prior", lambda x, p: x + F.log(F.greatest(p, F.lit(1e-9)))), markup, lambda x, p: x + F.log(p))
