@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder as scratch
+
 #: Characters of text that a Python worker turns into numpy arrays at once.
 BLOCK_CHARS = 2_000_000
 #: Rows and bytes of an Arrow batch; a few very long texts then stay in one batch at most.
@@ -22,25 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared checkpoint folder, removed when the driver's JVM ends.
-
-    The cluster names that folder in ``spark.checkpoint.dir``; where it is unset (tests), a local one is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints/tidemark"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop)
-    fs.deleteOnExit(hadoop)
-    return path
-
-
 #: Rows of a file that ``written`` aims at, of tables whose most rows are known.
-FILE_ROWS = 200_000
+FILE_ROWS = 50_000
 
 
 def written(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
