@@ -61,11 +61,11 @@ def shape(path: Column) -> Column:
 
 def templates(counted: DataFrame) -> DataFrame:
     """host, shape, template, bad_share of every row of ``counted`` (host, shape, labelled, bad; one row for a host and shape)."""
-    whole = counted.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"))
+    whole = counted.agg(F.sum("bad"), F.sum("labelled")).first()  # one row
+    overall = whole[0] / whole[1] if whole[1] else 0.0
     hosts = counted.groupBy("host").agg(F.sum("labelled").alias("l0"), F.sum("bad").alias("b0"))
-    overall = whole.select(F.when(F.col("l") > 0, F.col("b") / F.col("l")).otherwise(0.0).alias("overall"))
-    share = lambda b, n, p: (F.col(b) + F.lit(WEIGHT) * F.col(p)) / (F.col(n) + F.lit(WEIGHT))
-    hosts = hosts.join(F.broadcast(overall)).select("host", share("b0", "l0", "overall").alias("share"))  # one row
+    share = lambda b, n, p: (F.col(b) + F.lit(WEIGHT) * p) / (F.col(n) + F.lit(WEIGHT))
+    hosts = hosts.select("host", share("b0", "l0", F.lit(overall)).alias("share"))
     now = counted.join(hosts, "host").withColumn("template", F.lit(""))
     for level in range(DEPTH):
         now = now.withColumn("seg", F.coalesce(F.get("shape", F.lit(level)), F.lit("$")))
@@ -80,7 +80,7 @@ def templates(counted: DataFrame) -> DataFrame:
         own = F.when(own, difference * difference >= F.lit(Z2) * pooled * (1 - pooled) * (1 / F.col("n") + 1 / rest_n)).otherwise(False)
         kids = kids.withColumn("label", F.when(F.col("seg") == "$", "$").when(own, F.col("seg")).otherwise("*"))
         nodes = kids.groupBy("host", "template", "label").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("share").alias("up"))
-        nodes = nodes.select("host", "template", "label", F.when(F.col("label").isin("*", "$"), F.col("up")).otherwise(share("b", "n", "up")).alias("new_share"))
+        nodes = nodes.select("host", "template", "label", F.when(F.col("label").isin("*", "$"), F.col("up")).otherwise(share("b", "n", F.col("up"))).alias("new_share"))
         known = kids.select(*node, "label").join(nodes, ["host", "template", "label"])
         now = now.join(known, node).select("host", "shape", "labelled", "bad", F.col("new_share").alias("share"), F.when(F.col("label") == "$", F.col("template")).otherwise(F.concat("template", F.lit("/"), "label")).alias("template"))
         if level < DEPTH - 1:
