@@ -241,7 +241,7 @@ class Classes:
         ids = mixed.select("nid").union(mixed.select("rep")).distinct()
         counted = shares(self.texts.join(ids, "nid", "left_semi"), self.n)
         alone = counted.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.min("nid").alias("nid")).where("texts = 1")
-        alone = written(alone.groupBy("nid").agg(F.count(F.lit(1)).alias("alone")), "alone", self.n_members)
+        alone = written(alone.groupBy("nid").agg(F.count(F.lit(1)).alias("alone")), "alone")
         placed = mixed.join(alone, "nid", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
         placed = placed.withColumn("rest", F.col("rest") - F.col("alone"))
         t, x = self.similarity, F.col("size")
