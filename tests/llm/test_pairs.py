@@ -240,6 +240,36 @@ def test_op6_recall_over_edited_passages(sf_dir):
     assert near > 60 and hit >= op6_decontaminate.RECALL * near
 
 
+@pytest.mark.parametrize("size", [32, 40, 56, 80, 110, 160, 300])
+@pytest.mark.parametrize("kind", ["letters", "words"])
+def test_op6_recall_by_length(sf_dir, size, kind):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(size)
+    whole = " ".join(op6_decontaminate.normalise(b["text"])[0] for b in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist())
+    items = [whole[at : at + size].strip() for at in (rng.randrange(len(whole) - size) for _ in range(100))]
+    index = op6_decontaminate.Index(list(enumerate(items)))
+    near = hit = 0
+    for n, item in enumerate(items):
+        most = int(0.2 * len(item) + 1e-9)
+        left, edited = rng.randrange(most * 2 // 3, most + 1), list(item)
+        if kind == "letters":
+            for at in rng.sample(range(len(item)), left):
+                edited[at] = rng.choice(["", "q", item[at] + "e"])
+        else:
+            words = [(m.start(), m.end()) for m in re.finditer(r"\w+", item)]
+            for low, high in rng.sample(words, len(words)):
+                if high - low <= left:
+                    left -= high - low
+                    edited[low:high] = [rng.choice("bcdfgh") for _ in range(high - low)]
+        text = f"some words before {''.join(edited)} and some after"
+        is_near = op6_decontaminate.Matcher(item).best(text)[0] <= most
+        is_hit = any(h[1] == n for h in index.hits([text]))
+        assert not is_hit or is_near
+        near, hit = near + is_near, hit + is_hit
+    assert near > 80 and hit >= op6_decontaminate.RECALL * near
+
+
 def test_op6_edges(spark):
     fox = "the quick brown fox jumps over the lazy dog and runs away quickly"
     rows = [(1, None), (2, ""), (None, f"xx {fox.title()}\n yy".replace(" Fox", "  Fox")), (4, "short item. not shorty"), (5, "x" * 200_000 + f" {fox}".replace("the lazy", "a lazy")), (6, f"İ {fox} İ")]

@@ -1,19 +1,22 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
-
-Texts are compared in lower case with runs of white space as one space. A CGK walk turns a window into a string of
-letters: at each step it writes the letter under its pointer and moves on by one if a random bit of step and letter says
-so, which maps a small edit distance to a small Hamming distance. Documents have a window of item size at every word
-start. Items have one at every word start as well, so that edits at one place leave the walks of other places alone.
-The hash functions sample ``SAMPLED`` of a walk's first ``STEPS`` letters; only these steps are computed, whatever the
-size of the window. There are ``WALKS`` walks with ``SAMPLES`` samplings each; a window that agrees with an item's in any
-is a candidate, placed by the two word starts. A candidate that shares fewer letter groups of ``GRAM`` with the item, at
-places that the allowed distance can reach, than any passage within that distance must (the q-gram lemma) is dropped;
-every other is verified exactly: the least edit distance of the
-whole item to any passage there, by bit-parallel dynamic programming. A passage is a hit if the distance is at most
-(1 - ``SIMILARITY``) of the item's length. Tests hold the recall over planted passages against the target ``RECALL``.
+"""Benchmark decontamination by seeds one edit apart, stretches by bit vectors and exact edit verification.
+
+Texts are compared in lower case with runs of white space as one space. A passage is a hit if its edit distance to the
+whole item is at most (1 - ``SIMILARITY``) of the item's length, wherever it begins: white space has no part in it.
+
+Seeds. Two windows of n letters that are one edit apart are equal once each has lost one letter, so every window has n
+keys. An item's length says how long a stretch with one edit at most is in ``TARGET`` of all passages at the full
+distance, its edits at random places (``seed_span``); a seed is the longest of ``SEEDS`` that it holds. What a
+stretch is longer than its seed is left out between seeds in texts and in items, so that one pair of each such stretch is
+still compared. Shorter items thus have shorter seeds, and more of them. A seed that an item and a text share is
+dropped unless the item's ``WORD`` letters around it are within their part of the distance and three standard deviations
+(for items of up to ``WORD`` letters: within the distance) by bit-parallel dynamic programming, all candidates side by
+side. Every other candidate is verified exactly: the least edit distance of the whole item to any passage there. Tests
+hold the recall by length, at distances up to the full one, against the target ``RECALL``.
+
+Items of less than ``SHORT`` letters are searched as they are.
 
 Items are taken in blocks of ``ITEMS``, each one index of bounded size that goes to the workers and is held against all
-documents; nothing is shuffled. Items of less than ``SHORT`` letters, too short for a walk, are searched as they are.
+documents; nothing is shuffled.
 
 Null and empty items match nothing; null text counts as empty. Repeated documents and items are reported as often as
 they occur. An empty table gives an empty result. Extra columns are not read.
@@ -21,6 +24,8 @@ they occur. An empty table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -35,9 +40,13 @@ from .common import arrow_batches, blocks, located, mix, table, whole_text, with
 from .rows import without
 
 SIMILARITY, RECALL = 0.8, 0.95
-WALKS, SAMPLES, STEPS, SAMPLED = 2, 2, 36, 18
-GRAM = 4
-CHUNK = 8_192
+#: Letters that a seed may have; the share of passages that seeds are chosen for, and how many are drawn to choose them.
+SEEDS = (4, 6, 8, 10, 12)
+TARGET, TRIALS = (1 + RECALL) / 2, 400
+#: Letters that a machine word holds an item's stretch of; how far such a stretch may have moved against its seed.
+WORD, DRIFT = 64, 12
+PAD = SEEDS[-1] + 1
+CHUNK, BITS = 65_536, 23
 ITEMS, SHORT = 5_000, 32
 _SPACE = np.array([chr(i).isspace() for i in range(0x3001)])
 
@@ -55,9 +64,9 @@ def normalise(text: str) -> tuple[str, np.ndarray]:
     return np.where(space, 32, points)[at].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), at
 
 
-def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Eight-bit letters of texts, lower case and single spaces, padded after each; where words start; where texts start."""
-    joined = ("\0" * (STEPS + 1)).join(texts) + "\0" * (STEPS + 1)
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Eight-bit letters of texts, lower case and single spaces, padded after each; where texts start."""
+    joined = ("\0" * PAD).join(texts) + "\0" * PAD
     low = joined.lower()
     if len(low) != len(joined):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in joined)
@@ -65,48 +74,95 @@ def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = np.where(points <= 0x3000, _SPACE[np.minimum(points, 0x3000)], False)
     keep = ~space
     keep[1:] |= ~space[:-1]
-    sizes = np.array([len(t) + STEPS + 1 for t in texts])
+    sizes = np.array([len(t) + PAD for t in texts])
     first = np.cumsum(sizes) - sizes
     kept_before = np.cumsum(keep)
     begin = np.where(first > 0, kept_before[first - 1], 0)
     # single spaces across texts can't merge: padding lies between them
     points = np.where(space, 32, points)[keep]
     letters = (points ^ (points >> np.uint32(8))).astype(np.uint8)
-    solid = (points != 32) & (points != 0)
-    start = solid.copy()
-    start[1:] &= ~solid[:-1]
-    return letters, np.flatnonzero(start), begin
+    return letters, begin
+
+
+@functools.lru_cache(maxsize=4096)
+def seed_span(size: int, most: int) -> int:
+    """Letters of the longest stretch with one edit at most that ``TARGET`` of passages with ``most`` edits at random places have.
 
+    Never less than what some piece of the item must keep wherever the edits are (pigeonhole).
+    """
+    least = max(1, size // (most // 2 + 1))
+    if most < 2:
+        return least
+    rng = np.random.default_rng(size)
+    edits = np.sort(rng.random((TRIALS, size)).argpartition(most - 1, axis=1)[:, :most], axis=1)
+    edge = np.concatenate([np.full((TRIALS, 1), -1), edits, np.full((TRIALS, 1), size)], axis=1)
+    return max(least, int(np.quantile((edge[:, 2:] - edge[:, :-2] - 1).max(axis=1), 1 - TARGET, method="lower")))
 
-class Walks:
-    def __init__(self, seed: int = 11):
+
+class Seeds:
+    """Keys of all windows of ``n`` letters: each without one of its letters, so that windows one edit apart share a key."""
+
+    def __init__(self, n: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (WALKS, STEPS, 256))
-        self.moves[:, :, 0] = 1
-        self.sampled = np.zeros((WALKS, SAMPLES, STEPS), bool)
-        for w in range(WALKS):
-            for s in range(SAMPLES):
-                self.sampled[w, s, rng.choice(STEPS, SAMPLED, replace=False)] = True
-        self.written = rng.integers(1, 1 << 63, (WALKS, SAMPLES, STEPS, 256), dtype=np.uint64)
-
-    def keys(self, letters: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Number of a sampling, its key of each start, and where the walk ended."""
-        sums = np.zeros((WALKS, SAMPLES, len(starts)), np.uint64)
-        ends = np.zeros((WALKS, len(starts)), np.int64)
-        for begin in range(0, len(starts), CHUNK):  # what a walk touches stays in the cache
-            part = slice(begin, begin + CHUNK)
-            for w in range(WALKS):
-                at = starts[part].astype(np.int64)
-                for step in range(STEPS):
-                    c = letters.take(at).astype(np.intp)
-                    for s in range(SAMPLES):
-                        if self.sampled[w, s, step]:
-                            sums[w, s, part] += self.written[w, s, step].take(c)
-                    at += self.moves[w, step].take(c)
-                ends[w, part] = at
-        for w in range(WALKS):
-            for s in range(SAMPLES):
-                yield w * SAMPLES + s, mix(sums[w, s]), ends[w]
+        self.n, self.value = n, rng.integers(1, 1 << 32, 256, dtype=np.uint32)
+        base = int(rng.integers(0, 1 << 31)) * 2 + 1
+        self.power = [np.uint32(pow(base, i, 1 << 32)) for i in range(n)]
+
+    def keys(self, letters: np.ndarray, step: int = 1) -> Iterator[np.ndarray]:
+        """For each letter left out, the keys of the windows from every ``step``-th place on. The same array each time."""
+        places = len(letters) - self.n + 1
+        value = self.value.take(letters)
+        change = value[:-1] - value[1:]
+        key = np.zeros(-(-places // step), np.uint32)
+        for i in range(1, self.n):
+            key += value[i : i + places : step] * self.power[i - 1]
+        yield key
+        for i in range(self.n - 1):
+            key += change[i : i + places : step] * self.power[i]
+            yield key
+
+
+class Table:
+    """The seeds of those items that have seeds of ``n`` letters."""
+
+    def __init__(self, n: int, step: int, letters: np.ndarray, at: np.ndarray, item: np.ndarray, shift: np.ndarray):
+        """step: of the places in texts; at: where the seeds are in letters; shift: in their items."""
+        self.seeds, self.step, self.item, self.shift = Seeds(n), step, item, shift
+        keys = np.concatenate([k[at] for k in self.seeds.keys(letters)])
+        both = np.unique((keys.astype(np.uint64) << np.uint64(32)) + np.tile(np.arange(len(at), dtype=np.uint64), n))
+        self.known, self.first = np.unique((both >> np.uint64(32)).astype(np.uint32), return_index=True)
+        self.first = np.append(self.first, len(both))
+        self.window = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.bits = min(BITS, max(16, int(np.ceil(np.log2(128 * len(self.known) + 1)))))
+        self.maybe = []
+        for i in range(2):
+            known = np.zeros(1 << self.bits, bool)
+            known[self._slot(self.known, i)] = True
+            self.maybe.append(np.packbits(known, bitorder="little"))
+
+    def _slot(self, keys: np.ndarray, i: int) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1) if i else keys) >> np.uint32(32 - self.bits)
+
+    def _maybe(self, keys: np.ndarray, i: int) -> np.ndarray:
+        slot = self._slot(keys, i)
+        byte = self.maybe[i].take(slot >> np.uint32(3), mode="clip")
+        return np.flatnonzero((byte >> (slot & np.uint32(7)).astype(np.uint8)) & np.uint8(1))
+
+    def found(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of windows that share a key with an item's, and the numbers of those."""
+        out, n = [np.zeros(0, np.int64)], self.seeds.n
+        for begin in range(0, len(letters) - n + 1, CHUNK * self.step):  # what a chunk touches stays in the cache
+            for keys in self.seeds.keys(letters[begin : begin + CHUNK * self.step + n - 1], self.step):
+                at = self._maybe(keys, 0)
+                at = at[self._maybe(keys[at], 1)]
+                key = keys[at]
+                row = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+                good = self.known[row] == key
+                row, at = row[good], at[good]
+                times = self.first[row + 1] - self.first[row]
+                of = np.repeat(self.first[row] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                out.append(np.repeat(at * self.step + begin, times) * len(self.item) + self.window[of])
+        return np.divmod(np.unique(np.concatenate(out)), len(self.item))
 
 
 class Matcher:
@@ -119,13 +175,11 @@ class Matcher:
             self.mask[c] |= 1 << i
         self.full, self.top = (1 << self.n) - 1, 1 << (self.n - 1)
 
-    def best(self, text: str, enough: int = 1 << 30) -> tuple[int, int]:
-        """May end early, with what it has found, once nothing of at most ``enough`` can follow."""
+    def scores(self, text: str) -> Iterator[int]:
+        """For each letter, the least distance to any passage that ends with it."""
         positive, negative, score = self.full, 0, self.n
-        least, end = self.n, 0
-        hopeless = len(text) + enough  # the score falls by one a letter at most
         get = self.mask.get
-        for j, c in enumerate(text, 1):
+        for c in text:
             eq = get(c, 0)
             x = eq | negative
             d = (((eq & positive) + positive) ^ positive) | eq | negative
@@ -138,6 +192,13 @@ class Matcher:
             up, down = (up << 1) & self.full, (down << 1) & self.full
             positive = down | (~(x | up) & self.full)
             negative = up & x
+            yield score
+
+    def best(self, text: str, enough: int = 1 << 30) -> tuple[int, int]:
+        """May end early, with what it has found, once nothing of at most ``enough`` can follow."""
+        least, end = self.n, 0
+        hopeless = len(text) + enough  # the score falls by one a letter at most
+        for j, score in enumerate(self.scores(text), 1):
             if score < least:
                 least, end = score, j
             elif score + j > hopeless and least > enough:
@@ -151,106 +212,107 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]], similarity: float = SIMILARITY):
         self.items = [(i, normalise(t or "")[0].strip()) for i, t in items]
         self.items = [(i, t) for i, t in self.items if t]
-        self.similarity, self.walks = similarity, Walks()
+        self.similarity = similarity
         self.matchers: dict[int, tuple[Matcher, Matcher]] = {}
         self.short = [n for n, (_, t) in enumerate(self.items) if len(t) < SHORT]
         long = [n for n, (_, t) in enumerate(self.items) if len(t) >= SHORT]
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tables: list[Table] = []
         self.sizes = np.array([len(t) for _, t in self.items], np.int64)
         self.most = (self.sizes * (1 - similarity) + 1e-9).astype(np.int64)
         if not long:
             return
-        letters, starts, begin = _letters([self.items[n][1] for n in long])
-        of = np.searchsorted(begin, starts, side="right") - 1
-        ends = begin + [len(self.items[n][1]) for n in long]
-        shift = starts - begin[of]
-        for _, key, stop in self.walks.keys(letters, starts):
-            inside = np.flatnonzero(stop <= ends[of])
-            order = inside[np.argsort(key[inside], kind="stable")]
-            self.tables.append((key[order], np.asarray(long)[of[order]], shift[order]))
-        self.bits = max(16, int(np.ceil(np.log2(16 * max(len(k) for k, _, _ in self.tables) + 1))))
-        self.maybe = []
-        for key, _, _ in self.tables:
-            hit = np.zeros(1 << self.bits, bool)
-            hit[key >> np.uint64(64 - self.bits)] = True
-            self.maybe.append(hit)
-
-        items = np.repeat(np.asarray(long), np.diff([*begin, len(letters)]))
-        grams = self._grams(letters, items, np.arange(len(letters)))
-        slot = (np.arange(len(letters)) - np.repeat(begin, np.diff([*begin, len(letters)]))) // self._slot(items)
-        self.gram_bits = max(16, int(np.ceil(np.log2(32 * len(grams)))))
-        self.known, self.placed = np.zeros(1 << self.gram_bits, bool), np.zeros(1 << self.gram_bits, bool)
-        self.known[grams >> np.uint64(64 - self.gram_bits)] = True
-        self.placed[self._at(grams, slot)] = True
-
-    def _slot(self, items: np.ndarray) -> np.ndarray:
-        """Length of the slots in which an item's letter groups are placed."""
-        return np.maximum(self.most[items] // 2, 1)
-
-    def _at(self, grams: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        return mix(grams + (slot + 8).astype(np.uint64)) >> np.uint64(64 - self.gram_bits)
-
-    @staticmethod
-    def _grams(letters: np.ndarray, items: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Hashes of an item's number with the letters from a place on."""
-        code = np.zeros(len(letters), np.uint32)
-        for i in range(GRAM):
-            code[: len(letters) - i] |= letters[i:].astype(np.uint32) << np.uint32(8 * i)
-        return (code[at].astype(np.uint64) + (items.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-
-    def _shares(self, letters: np.ndarray, zero: np.ndarray, low: np.ndarray, high: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Which of the items may have a passage within their distance between two places, beginning about ``zero``."""
-        need = self.sizes[items] - (GRAM - 1) - GRAM * self.most[items]
-        enough = need <= 0
-        shift = np.uint64(64 - self.gram_bits)
-        for start in range(0, len(items), 4_000):
-            part = np.arange(start, min(start + 4_000, len(items)))
-            for placed in (False, True):
-                n = np.maximum(high[part] - low[part], 0)
-                owner = np.repeat(np.arange(len(part)), n)
-                at = np.repeat(low[part] - (np.cumsum(n) - n), n) + np.arange(len(owner))
-                grams = self._grams(letters, items[part][owner], at)
-                seen = self.known[grams >> shift]
-                if placed:
-                    here = np.flatnonzero(seen)
-                    item = items[part][owner[here]]
-                    offset, most, slot = at[here] - zero[part][owner[here]], self.most[item], self._slot(item)
-                    first, last = (offset - most) // slot, (offset + most) // slot
-                    hit = np.zeros(len(here), bool)
-                    for k in range(int((last - first).max(initial=0)) + 1):
-                        hit |= self.placed[self._at(grams[here], np.maximum(np.minimum(first + k, last), -8))]
-                    seen = np.zeros(len(seen), bool)
-                    seen[here] = hit
-                part = part[np.bincount(owner, seen, len(part)) >= need[part]]
-            enough[part] = True
-        return enough
+        letters, begin = _letters([self.items[n][1] for n in long])
+        kinds: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for first, n in zip(begin.tolist(), long, strict=True):
+            size = int(self.sizes[n])
+            like = min(size // 16 * 16, 512)  # no more is kept of longer ones
+            span = min(seed_span(like, int(like * (1 - similarity) + 1e-9)), size)
+            kind = max((k for k in SEEDS if k <= span), default=span)
+            kinds[kind].append((first, n, span - kind + 1))
+        for kind, those in sorted(kinds.items()):
+            # a common stretch has ``span - kind + 1`` pairs of seeds side by side: if the steps in texts and in the item
+            # have no common divisor and no greater product, one pair is compared
+            step = min(room for _, _, room in those)
+            shifts = []
+            for _, n, room in those:
+                own = max(k for k in range(1, room // step + 1) if math.gcd(k, step) == 1)
+                shifts.append(np.arange(0, int(self.sizes[n]) - kind + 1, own))
+            at = np.concatenate([first + shift for (first, _, _), shift in zip(those, shifts, strict=True)])
+            item = np.repeat([n for _, n, _ in those], [len(shift) for shift in shifts])
+            self.tables.append(Table(kind, step, letters, at, item, np.concatenate(shifts)))
+
+        # what an item's stretch of WORD letters from every WORD / 2 has in common with a letter, as bits
+        self.part = np.minimum(self.sizes, WORD)
+        parts = np.where(self.sizes >= SHORT, -(-(self.sizes - self.part) // (WORD // 2)) + 1, 0)
+        self.first_part = np.cumsum(parts) - parts
+        self.mask = np.zeros((int(parts.sum()), 256), np.uint64)
+        for first, n in zip(begin.tolist(), long, strict=True):
+            for i in range(parts[n]):
+                low = first + self._part(n, i)
+                np.bitwise_or.at(self.mask[self.first_part[n] + i], letters[low : low + self.part[n]], np.uint64(1) << np.arange(self.part[n], dtype=np.uint64))
+        usual = self.part * (1 - similarity)
+        self.bound = np.minimum(self.most, np.ceil(usual + 3 * np.sqrt(usual * similarity)).astype(np.int64))
+
+    def _part(self, item, i):
+        """Where an item's i-th stretch begins."""
+        return np.minimum(i * (WORD // 2), self.sizes[item] - self.part[item])
+
+    def _near(self, letters: np.ndarray, place: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Which seeds' stretches of their items are within the stretch's bound near the place, by bit vectors side by side."""
+        good = np.zeros(len(item), bool)
+        i = np.maximum(shift + SEEDS[-1] // 2 - WORD // 4, 0) // (WORD // 2)
+        i = np.minimum(i, -(-(self.sizes[item] - self.part[item]) // (WORD // 2)))
+        begin = place - shift + self._part(item, i) - DRIFT
+        one = np.uint64(1)
+        for start in range(0, len(item), 4_096):
+            part = slice(start, start + 4_096)
+            row, at, size = self.first_part[item[part]] + i[part], begin[part], self.part[item[part]]
+            top = (size - 1).astype(np.uint64)
+            positive, negative = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
+            score, least = size.astype(np.uint64), size.astype(np.uint64)
+            x, d, up, down = (np.empty(len(at), np.uint64) for _ in range(4))
+            mask, row = self.mask.ravel(), row * 256
+            for step in range(int(size.max()) + 2 * DRIFT):
+                eq = mask.take(row + letters.take(at + step, mode="clip"))
+                np.bitwise_or(eq, negative, out=x)
+                np.bitwise_and(eq, positive, out=d)
+                d += positive
+                d ^= positive
+                d |= eq
+                np.bitwise_or(d, positive, out=up)
+                np.invert(up, out=up)
+                up |= negative
+                np.bitwise_and(positive, d, out=down)
+                np.right_shift(up, top, out=d)
+                d &= one
+                score += d
+                np.right_shift(down, top, out=d)
+                d &= one
+                score -= d
+                np.minimum(least, score, out=least)
+                up <<= one
+                down <<= one
+                np.bitwise_or(x, up, out=positive)
+                np.invert(positive, out=positive)
+                positive |= down
+                np.bitwise_and(up, x, out=negative)
+            good[part] = least.astype(np.int64) <= self.bound[item[part]]
+        return good
 
     def candidates(self, texts: list[str]) -> dict[int, set[tuple[int, int]]]:
         """text -> (item, place in the normalised text where the item would start)."""
         found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        if not self.tables:
-            return found
-        letters, starts, begin = _letters(texts)
-        if not len(starts):
+        if not self.tables or not texts:
             return found
-        triples = []
-        for number, key, _ in self.walks.keys(letters, starts):
-            known, item, shift = self.tables[number]
-            at = np.flatnonzero(self.maybe[number][key >> np.uint64(64 - self.bits)])
-            low, high = np.searchsorted(known, key[at], "left"), np.searchsorted(known, key[at], "right")
-            n = high - low
-            which = np.repeat(np.arange(len(at)), n)
-            row = np.repeat(low, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            place = starts[at[which]]
+        letters, begin = _letters(texts)
+        for known in self.tables:
+            place, window = known.found(letters)
+            item, shift = known.item[window], known.shift[window]
+            good = self._near(letters, place, item, shift)
+            place, item, shift = place[good], item[good], shift[good]
             text = np.searchsorted(begin, place, side="right") - 1
-            triples.append(np.stack([text, item[row], place - begin[text] - shift[row]]))
-        text, item, place = np.unique(np.concatenate(triples, axis=1), axis=1)
-        last = np.append(begin[1:], len(letters))[text]
-        low = np.maximum(begin[text] + place - self.most[item], begin[text])
-        high = np.minimum(begin[text] + place + self.sizes[item] + self.most[item], last)
-        good = self._shares(letters, begin[text] + place, low, high, item)
-        for t, i, p in zip(text[good].tolist(), item[good].tolist(), place[good].tolist(), strict=True):
-            found[t].add((i, p))
+            for t, i, p in zip(text.tolist(), item.tolist(), (place - begin[text] - shift).tolist(), strict=True):
+                found[t].add((i, p))
         return found
 
     def _matcher(self, i: int) -> tuple[Matcher, Matcher]:
