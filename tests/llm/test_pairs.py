@@ -270,6 +270,22 @@ def test_op6_recall_by_length(sf_dir, size, kind):
     assert near > 80 and hit >= op6_decontaminate.RECALL * near
 
 
+@pytest.mark.parametrize("alphabet", ["".join(map(chr, range(0x4E00, 0x5200))), "abcdefghijklmnop"])
+def test_op6_text_without_spaces(alphabet):
+    rng = random.Random(9)
+    run = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    items = [run(rng.randrange(40, 200)) for _ in range(30)]
+    index = op6_decontaminate.Index(list(enumerate(items)))
+    for n, item in enumerate(items):
+        edited = list(item)
+        for at in rng.sample(range(len(item)), len(item) * 15 // 100):
+            edited[at] = rng.choice(["", run(1), item[at] + run(1)])
+        before = run(300)
+        assert (0, n, 0, 300, 300 + len(item)) in list(index.hits([before + item + run(300)]))
+        assert any(h[1] == n for h in index.hits([before + "".join(edited) + run(300)]))
+    assert not list(index.hits([run(2000)]))
+
+
 def test_op6_edges(spark):
     fox = "the quick brown fox jumps over the lazy dog and runs away quickly"
     rows = [(1, None), (2, ""), (None, f"xx {fox.title()}\n yy".replace(" Fox", "  Fox")), (4, "short item. not shorty"), (5, "x" * 200_000 + f" {fox}".replace("the lazy", "a lazy")), (6, f"İ {fox} İ")]
