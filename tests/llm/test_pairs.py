@@ -240,7 +240,7 @@ def test_op6_recall_over_edited_passages(sf_dir):
     assert near > 60 and hit >= op6_decontaminate.RECALL * near
 
 
-@pytest.mark.parametrize("size", [32, 40, 56, 80, 110, 160, 300])
+@pytest.mark.parametrize("size", [12, 24, 32, 40, 56, 80, 110, 160, 300])
 @pytest.mark.parametrize("kind", ["letters", "words"])
 def test_op6_recall_by_length(sf_dir, size, kind):
     import pyarrow.parquet as pq
@@ -286,6 +286,24 @@ def test_op6_text_without_spaces(alphabet):
     assert not list(index.hits([run(2000)]))
 
 
+def test_op6_short_items_are_near_too():
+    item = "what is the capital of france?"
+    hits = lambda item, text: list(op6_decontaminate.Index([(7, item)]).hits([text]))
+    assert hits(item, f"so: {item.replace('capital', 'capitol')} Paris") == [(0, 7, 1, 4, 34)]
+    assert hits(item, "so: wat is teh capitl of frnce? Paris")[0][2] <= 6
+    assert not hits(item, "so: where is the capitol of spain? Madrid")
+    assert hits("short", "not shorty") == [(0, 7, 0, 4, 9)] and hits("short", "shorty shart") == [(0, 7, 0, 0, 5)]
+    assert hits("short", "a shirt") == [(0, 7, 1, 2, 7)] and hits("short", "shorty and short") == [(0, 7, 0, 11, 16)]
+    assert hits("法国的首都", "请问法国的首都是哪里") == [(0, 7, 0, 2, 7)] and not hits("abc", "ab c")
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    for _ in range(300):
+        item, text = word(rng.randrange(1, 32)).strip() or "a", " ".join(word(rng.randrange(0, 90)).split())
+        item = " ".join(item.split())
+        least, found = distance(item, text), hits(item, text)
+        assert bool(found) == (least <= int(0.2 * len(item) + 1e-9)) and all(h[2] == least for h in found)
+
+
 def test_op6_edges(spark):
     fox = "the quick brown fox jumps over the lazy dog and runs away quickly"
     rows = [(1, None), (2, ""), (None, f"xx {fox.title()}\n yy".replace(" Fox", "  Fox")), (4, "short item. not shorty"), (5, "x" * 200_000 + f" {fox}".replace("the lazy", "a lazy")), (6, f"İ {fox} İ")]

@@ -13,7 +13,9 @@ dropped unless the item's ``WORD`` letters around it are within their part of th
 side. Every other candidate is verified exactly: the least edit distance of the whole item to any passage there. Tests
 hold the recall by length, at distances up to the full one, against the target ``RECALL``.
 
-Items of less than ``SHORT`` letters are searched as they are.
+Items of less than ``SHORT`` letters are found without loss: one of k + 1 pieces survives k edits, and the distance is
+taken around each place of each piece. So many passages of a text may be near to such an item that only the nearest
+count, and of equal ones those that begin and end with a word; every pair of a document and an item is found.
 
 Items are taken in blocks of ``ITEMS``, each one index of bounded size that goes to the workers and is held against all
 documents; nothing is shuffled.
@@ -26,7 +28,6 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
@@ -320,6 +321,35 @@ class Index:
             self.matchers[i] = Matcher(self.items[i][1]), Matcher(self.items[i][1][::-1])
         return self.matchers[i]
 
+    def _nearest(self, i: int, text: str) -> list[tuple[int, int, int]]:
+        """Distance, start and end of the passages of a text that are nearest to a short item, within its distance."""
+        pattern, most = self.items[i][1], int(self.most[i])
+        size, regions = len(pattern), []
+        cuts = [size * p // (most + 1) for p in range(most + 2)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):  # one of most + 1 pieces is left as it is
+            at = text.find(pattern[low:high])
+            while at >= 0:
+                regions.append((max(0, at - low - most), at - low + size + most))
+                at = text.find(pattern[low:high], at + 1)
+        there, back = self._matcher(i)
+        passages, begin, end = [], 0, -1
+        for low, high in [*sorted(regions), (1 << 62, 0)]:
+            if low <= end:
+                end = max(end, high)
+                continue
+            for j, distance in enumerate(there.scores(text[begin : end + 1]) if end >= 0 else (), begin + 1):
+                if distance <= most:
+                    start = j - back.best(text[max(0, j - size - most) : j][::-1])[1]
+                    glued = text[max(start - 1, 0) : start + 1].isalnum() * (start > 0) + text[j - 1 : j + 1].isalnum() * (j < len(text))
+                    passages.append((distance, glued, start, j))
+            begin, end = low, high
+        passages.sort()
+        out: list[tuple[int, int, int]] = []
+        for distance, glued, start, stop in passages:
+            if (distance, glued) == passages[0][:2] and all(stop <= s or start >= e for _, s, e in out):
+                out.append((distance, start, stop))
+        return out
+
     def hits(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """text, item id, distance, start, end (in the text as it is) of every passage that is near to an item."""
         found = self.candidates(texts)
@@ -340,8 +370,7 @@ class Index:
                     if span not in spans[i]:
                         spans[i].append(span)
             for i in self.short:
-                pattern = self.items[i][1]
-                spans[i] += [(0, m.start(), m.end()) for m in re.finditer(rf"(?<!\w){re.escape(pattern)}(?!\w)", text)]
+                spans[i] += self._nearest(i, text)
             for i, passages in sorted(spans.items()):
                 for distance, start, end in passages:
                     yield t, self.items[i][0], distance, int(at[start]), int(at[end - 1]) + 1
