@@ -186,6 +186,16 @@ def test_op2_decides_hosts_with_many_removed_places_by_page(spark, sf_dir, monke
     assert {(r.page_id, r.text) for r in op2_html_text.extract(df).collect()} == want
 
 
+@pytest.mark.parametrize("wrapper_first", [True, False])
+def test_op2_tells_siblings_apart_by_all_their_names(spark, wrapper_first):
+    wrapper = "<div class='col d-flex md p wrapper'><article><p>main text {i}</p></article></div>"
+    sidebar = "<div class='col d-flex md p sidebar'><p>beside {i}</p></div>"
+    both = wrapper + sidebar if wrapper_first else sidebar + wrapper
+    pages = [(i, "http://h.org/p", f"<body>{both.format(i=i)}</body>") for i in range(5)]
+    rows = op2_html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.text for r in rows} == {f"main text {i}" for i in range(5)}
+
+
 def test_op2_learns_a_branch_that_its_names_do_not_give_away(spark):
     """A plain div with the same few texts on every page of a host goes; one with texts of its own stays."""
     pages = [(i, "http://h.org/p", f"<body><div class='x'>same words</div><div class='y'>text number {i} of its own {i * i}</div>") for i in range(60)]

@@ -102,7 +102,7 @@ class Parser:
             prior, inside = LEAN, True
         else:
             prior = PLAIN
-        path = f"{parent.path}/{tag}" + "".join(f".{w}" for w in sorted(set(words))[:4])
+        path = f"{parent.path}/{tag}" + "".join(f".{w}" for w in sorted(set(words)))
         if hidden:
             path += ".(hidden)"
         if len(path) > 400:  # deep pages: what is above is folded into a number
