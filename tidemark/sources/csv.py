@@ -14,6 +14,12 @@ from ..functions.time import iso
 HEADER = "Session Start,Session End,Duration (ms)"
 
 
+def preamble(title: str, name: str, total_ms: int, as_of_ms: int) -> list[str]:
+    """The lines before the sessions."""
+    made = datetime.fromtimestamp(as_of_ms // 1000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.") + f"{as_of_ms % 1000:03d}Z"
+    return [f"# {title}: {name}", f"# Generated: {made}", f"# Total: {total_ms}ms", "", HEADER]
+
+
 class Exporter(Protocol):
     """A format in which the sessions of a workspace can be written."""
 
@@ -29,24 +35,27 @@ def rows(sessions: DataFrame) -> DataFrame:
 
 
 class CsvExporter:
-    """``title`` opens the first comment line, before the workspace's name."""
+    """``title`` opens the first comment line, before the workspace's name; ``most``: sessions that a file may have.
+
+    Larger ones are for ``write``: they are refused here, not cut.
+    """
 
     format_name = "csv"
 
-    def __init__(self, title: str = "Time export"):
-        self.title = title
+    def __init__(self, title: str = "Time export", most: int = 100_000):
+        self.title, self.most = title, most
 
     def export(self, sessions: DataFrame, name: str, total_ms: int, as_of_ms: int) -> str:
-        """One workspace's file as text (its sessions are bounded by retention), in order of start.
+        """One workspace's file as text, in order of start.
 
         A name with a line break can't stand in a comment line and is refused.
         """
         if "\n" in name or "\r" in name:
             raise ValueError("the name must be one line")
-        made = datetime.fromtimestamp(as_of_ms / 1000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.") + f"{as_of_ms % 1000:03d}Z"
-        head = [f"# {self.title}: {name}", f"# Generated: {made}", f"# Total: {total_ms}ms", "", HEADER]
-        body = rows(sessions.orderBy("start_ms", "end_ms")).select("session_start", "session_end", "duration_ms").collect()
-        return "\n".join(head + [f"{a},{b},{d}" for a, b, d in body])
+        body = rows(sessions.orderBy("start_ms", "end_ms", "duration_ms")).select("session_start", "session_end", "duration_ms").limit(self.most + 1).collect()
+        if len(body) > self.most:
+            raise ValueError(f"more than {self.most} sessions: use write()")
+        return "\n".join(preamble(self.title, name, total_ms, as_of_ms) + [f"{a},{b},{d}" for a, b, d in body])
 
 
 def write(sessions: DataFrame, path: str) -> None:

@@ -32,7 +32,9 @@ def parse(lines: DataFrame, col: str = "value") -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Slices of a journal; none if there is no file."""
-    return parse(spark.read.text(path)).select("ts_ms", "delta_ms") if exists(spark, path) else empty(spark, PARSED)
+    if not exists(spark, path):
+        return empty(spark, PARSED)
+    return parse(spark.read.option("recursiveFileLookup", "true").text(path)).select("ts_ms", "delta_ms")
 
 
 def lines(slices: DataFrame) -> DataFrame:
@@ -44,5 +46,10 @@ def append(slices: DataFrame, path: str) -> None:
     lines(slices).write.mode("append").text(path)
 
 
+def replace(slices: DataFrame, path: str, part: str) -> None:
+    """Writes one named part of a journal; written again, it replaces itself and doesn't count twice."""
+    lines(slices).write.mode("overwrite").text(f"{path}/part={part}")
+
+
 def truncate(spark: SparkSession, path: str) -> None:
     delete(spark, path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete, empty, exists
+from ..storage import Document, delete, empty
 
 VERSION = 1
 STATE = "version long, total_ms long, current_start_ms long, last_saved_ms long, is_enabled boolean, sessions array<struct<start_ms:long,end_ms:long,duration_ms:long>>, metadata map<string,string>"
@@ -54,28 +55,76 @@ def fresh(spark: SparkSession) -> DataFrame:
 
 
 class JsonFile:
-    """One workspace's state as a JSON text on storage that the executors share."""
+    """One workspace's state as a JSON text on storage that the executors share; replaced as a whole."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.document = spark, path, Document(spark, path)
 
     def is_available(self) -> bool:
-        return exists(self.spark, self.path)
+        return self.document.file() is not None
 
     def load(self) -> DataFrame | None:
-        if not self.is_available():
+        text = self.document.read()
+        if text is None:
             return None
-        state = decode(self.spark.read.text(self.path, wholetext=True))
+        state = decode(self.spark.createDataFrame([(text,)], "value string"))
         return None if state.isEmpty() else state
 
     def save(self, state: DataFrame) -> None:
-        row = encode(state).select("value").first()  # one workspace; read before its file is replaced
-        self.spark.createDataFrame([(row[0],)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
+        self.document.write(encode(state).select("value").first()[0])  # one workspace
 
     def delete(self) -> None:
         delete(self.spark, self.path)
 
 
+class Registry:
+    """All workspaces' latest totals as one JSON text, as its users know it; ``operators.workspaces`` has the scalable log.
+
+    A text that is missing, broken or without a numeric version counts as an empty registry; a broken one also makes the
+    registry unavailable.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.document, self.available = spark, Document(spark, path), True
+
+    def _record(self) -> dict:
+        none = {"version": VERSION, "totalMs": 0, "workspaces": {}, "lastUpdatedAt": 0}
+        text = self.document.read()
+        if not text:
+            return none
+        try:
+            record = json.loads(text)
+        except ValueError:
+            log.exception("registry not read")
+            self.available = False
+            return none
+        version = record.get("version") if isinstance(record, dict) else None
+        return record if isinstance(version, int | float) and not isinstance(version, bool) else none
+
+    def load(self) -> DataFrame:
+        """ws_id, name, uri, total_ms, synced_at."""
+        return decode_global(self.spark.createDataFrame([(json.dumps(self._record()),)], "value string"))
+
+    def last_updated_ms(self) -> int:
+        return int(self._record().get("lastUpdatedAt") or 0)
+
+    def save(self, latest: DataFrame, as_of_ms: int) -> None:
+        """Replaces the registry by these rows (ws_id, name, uri, total_ms, synced_at), stamped."""
+        rows = {r.ws_id: {"name": r.name_, "uri": r.uri, "totalMs": r.total_ms, "lastSyncedAt": r.synced_at} for r in latest.select("ws_id", F.col("name").alias("name_"), "uri", "total_ms", "synced_at").toLocalIterator()}
+        self._write(rows, as_of_ms)
+
+    def sync(self, ws_id: str, name: str, uri: str, total_ms: int, as_of_ms: int) -> None:
+        """One workspace's new total."""
+        self._write(self._record().get("workspaces", {}) | {ws_id: {"name": name, "uri": uri, "totalMs": total_ms, "lastSyncedAt": as_of_ms}}, as_of_ms)
+
+    def _write(self, rows: dict, as_of_ms: int) -> None:
+        total = sum(r["totalMs"] for r in rows.values())
+        self.document.write(json.dumps({"version": VERSION, "totalMs": total, "workspaces": rows, "lastUpdatedAt": as_of_ms}))
+
+    def delete(self) -> None:
+        delete(self.spark, self.document.path)
+
+
 def load_first(spark: SparkSession, providers: list[StorageProvider]) -> DataFrame:
     """The first provider's state that is there and valid, else an empty one."""
     for provider in providers:
@@ -99,6 +148,19 @@ def save_all(state: DataFrame, providers: list[StorageProvider], as_of_ms: int)
     return done
 
 
+def delete_all(providers: list, journal_path: str, spark: SparkSession) -> list[bool]:
+    """Deletes a workspace's state everywhere and its journal; what fails is logged and keeps nothing else from going."""
+    done = []
+    for remove in [*[p.delete for p in providers], lambda: delete(spark, journal_path)]:
+        try:
+            remove()
+            done.append(True)
+        except Exception:
+            log.exception("state not deleted")
+            done.append(False)
+    return done
+
+
 def fallback(sources: list[DataFrame]) -> DataFrame:
     """Of several tables with ws_id, the row of the first table that has the workspace, and ``source``: the table's number."""
     union = None

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.flags import ByTime, FlushStrategy
 from ..sources import journal
+from ..storage import Manifest, delete
 
 #: Milliseconds between batches: journal, full save, heartbeat.
 FLUSH_MS, SAVE_MS, BEAT_MS = 10_000, 60_000, 1_000
@@ -51,30 +52,69 @@ def save_each(stream: DataFrame, save: Callable[[DataFrame, int], None], checkpo
 class Flusher:
     """Batches of slices that are written when the strategy says so; for use in ``save_each``.
 
-    What is not due stays in a table on shared storage and is written with a later batch or by ``flush_all``.
+    What is not due waits in tables on shared storage, listed in a manifest there. A new Flusher on the same folder goes
+    on from it; a batch that comes again (by its number, which grows) is not taken twice; a flush that broke off is done
+    again under its own name, which replaces what it had written.
     """
 
     def __init__(self, spark: SparkSession, folder: str, path: str, strategy: FlushStrategy | None = None, capacity: int = 1024):
         self.spark, self.path, self.capacity = spark, path, capacity
-        self.strategy, self.waiting, self.flushed_at_ms, self.folder = strategy or ByTime(), 0, None, folder
-        self.parts: list[str] = []
+        self.strategy, self.folder = strategy or ByTime(), folder
+        self.manifest = Manifest(spark, f"{folder}/manifest")
+        record = self._record()
+        if record["flushing"] is not None:
+            self._finish(record)
+
+    def _record(self) -> dict:
+        return self.manifest.load({"waiting": [], "flushing": None, "taken_to": -1, "flushed_at_ms": None})
+
+    @property
+    def waiting(self) -> int:
+        return sum(n for _, n in self._record()["waiting"])
 
     def push(self, batch: DataFrame, batch_id: int, now_ms: int) -> int:
         """Takes a batch; number of slices written now."""
-        part = f"{self.folder}/batch-{batch_id}"
-        batch.write.mode("overwrite").parquet(part)
-        self.waiting += self.spark.read.parquet(part).count()
-        self.parts.append(part)
-        self.flushed_at_ms = now_ms if self.flushed_at_ms is None else self.flushed_at_ms
-        if self.strategy.should_flush(self.waiting, self.capacity, now_ms - self.flushed_at_ms):
-            return self.flush_all(now_ms)
-        return 0
+        self.take(batch, now_ms, batch_id)
+        return self.try_flush(now_ms)
+
+    def take(self, batch: DataFrame, now_ms: int, batch_id: int | None = None) -> None:
+        """Takes a batch, by default one that is new, and writes nothing yet."""
+        record = self._record()
+        batch_id = record["taken_to"] + 1 if batch_id is None else batch_id
+        if batch_id > record["taken_to"]:
+            part = f"{self.folder}/batch-{batch_id}"
+            batch.write.mode("overwrite").parquet(part)
+            record["waiting"].append([batch_id, self.spark.read.parquet(part).count()])
+            record["taken_to"] = batch_id
+            if record["flushed_at_ms"] is None:
+                record["flushed_at_ms"] = now_ms
+            self.manifest.save(record)
+
+    def try_flush(self, now_ms: int) -> int:
+        """Writes what waits if the strategy says so; number of slices written."""
+        record = self._record()
+        n = sum(n for _, n in record["waiting"])
+        since = now_ms - (now_ms if record["flushed_at_ms"] is None else record["flushed_at_ms"])
+        return self.flush_all(now_ms) if self.strategy.should_flush(n, self.capacity, since) else 0
 
     def flush_all(self, now_ms: int) -> int:
         """Writes everything that waits; all of it, a full buffer as well."""
-        n = self.waiting
+        record = self._record()
+        n = sum(n for _, n in record["waiting"])
+        record["flushed_at_ms"] = now_ms
         if n:
-            journal.append(self.spark.read.parquet(*self.parts), self.path)
+            record["flushing"] = [i for i, _ in record["waiting"]]
+            self.manifest.save(record)
+            self._finish(record)
+        else:
+            self.manifest.save(record)
         self.strategy.flushed(n)
-        self.parts, self.waiting, self.flushed_at_ms = [], 0, now_ms
         return n
+
+    def _finish(self, record: dict) -> None:
+        done = set(record["flushing"])
+        parts = [f"{self.folder}/batch-{i}" for i in record["flushing"]]
+        journal.replace(self.spark.read.parquet(*parts), self.path, f"{max(done):012d}")
+        self.manifest.save(record | {"waiting": [w for w in record["waiting"] if w[0] not in done], "flushing": None})
+        for part in parts:
+            delete(self.spark, part)
