@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -35,9 +35,25 @@ def dashboard(sessions: DataFrame, state: DataFrame, log: DataFrame, ws_id: str,
     )
 
 
-def nested(row: DataFrame, seven: DataFrame, ranking: DataFrame) -> DataFrame:
-    """The record with its two lists: seven days, and workspaces by rank (name, total_ms), for a page that shows one user's."""
+def nested(row: DataFrame, seven: DataFrame, ranking: DataFrame, most: int = 1_000) -> DataFrame:
+    """The record with its two lists: seven days, and the ``most`` first workspaces by rank (name, total_ms), a page's worth."""
     days = seven.agg(F.transform(F.array_sort(F.collect_list(F.struct("at_ms", "label", "weekday", "total_ms"))), lambda d: F.struct(d["label"].alias("label"), d["weekday"].alias("weekday"), d["total_ms"].alias("total_ms"))).alias("daily_stats"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("total_ms")).alias("order"), "name", "total_ms")))
-    listed = ranking.agg(F.transform(order, lambda w: F.struct(w["name"].alias("name"), w["total_ms"].alias("total_ms"))).alias("workspace_list"))
-    return row.join(F.broadcast(days)).join(F.broadcast(listed))
+    top = ranking.orderBy(F.desc("total_ms"), "name").limit(most)
+    listed = top.agg(F.transform(order, lambda w: F.struct(w["name"].alias("name"), w["total_ms"].alias("total_ms"))).alias("workspace_list"))
+    return row.join(F.broadcast(days)).join(F.broadcast(listed))  # one row each
+
+
+def record(sessions: DataFrame, state: DataFrame, log: DataFrame, ws_id: str, as_of_ms: int, config: Config | None = None, most: int = 1_000) -> DataFrame:
+    """The whole record: ``dashboard`` with both switches and both lists."""
+    config = config or Config()
+    own, mine = sessions.where(F.col("ws_id") == ws_id), state.where(F.col("ws_id") == ws_id)
+    row = dashboard(sessions, state, log, ws_id, as_of_ms, config)
+    row = row.withColumns({"is_enabled": F.lit(config.enabled), "global_disabled": F.lit(config.global_disabled)})
+    since = aggregates.open_elapsed(as_of_ms, F.col("current_start_ms"))
+    seven = aggregates.last_seven_days(own, as_of_ms)
+    running = mine.select(since.alias("since_ms"))  # today's bar has the open session
+    last = F.max("at_ms").over(Window.partitionBy())  # seven rows
+    seven = seven.withColumn("last_", last).join(F.broadcast(running), how="left")
+    seven = seven.withColumn("total_ms", F.col("total_ms") + F.when(F.col("at_ms") == F.col("last_"), F.coalesce("since_ms", F.lit(0))).otherwise(0))
+    return nested(row, seven, workspaces.ranking(log), most)

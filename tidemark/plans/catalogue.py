@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import format as fmt
+from ..functions import text
 from ..functions.text import workspace_id
-from ..functions.time import DAY_MS, iso
+from ..functions.time import DAY_MS, WEEKDAYS, iso
 from ..operators import aggregates, dashboard, flags, retention, timer, workspaces
 from ..sources import csv, journal, state, tables
 from ..storage import shared_folder
 from ..streaming import journal as streams
+from ..streaming import lifecycle
+from ..streaming import ring as rings
 
 #: The clock of all queries: 2024-01-30 12:00 UTC. A checkpoint stands half a day before, a period began on 2024-01-16.
 AS_OF, CHECKPOINT, PERIOD = 1_706_616_000_000, 1_706_572_800_000, 1_705_363_200_000
@@ -99,7 +102,7 @@ def weekly_stats(spark, sf_dir):
 #: A session of all workspaces together that has been open since the evening before.
 _OPEN = 14 * 3_600_000
 _SEVEN = f"""c AS (SELECT {_TODAY} - i * {DAY_MS} AS at_ms FROM range(7) t(i)),
-seven AS (SELECT at_ms, strftime(make_timestamp(at_ms * 1000), '%m-%d') AS label, ['日', '一', '二', '三', '四', '五', '六'][dayofweek(make_timestamp(at_ms * 1000)) + 1] AS weekday,
+seven AS (SELECT at_ms, strftime(make_timestamp(at_ms * 1000), '%m-%d') AS label, {WEEKDAYS}[dayofweek(make_timestamp(at_ms * 1000)) + 1] AS weekday,
 CAST(coalesce((SELECT sum(duration_ms) FROM s WHERE start_ms >= at_ms AND start_ms < at_ms + {DAY_MS}), 0) + CASE WHEN at_ms = {_TODAY} THEN {_OPEN} ELSE 0 END AS BIGINT) AS total_ms FROM c)
 """
 
@@ -290,7 +293,7 @@ def flush_decision(spark, sf_dir):
     return rows.select("event_id", flags.due_by_time(n, elapsed).alias("by_time"), flags.due_by_size(n, capacity).alias("by_size"), flags.due(n, capacity, elapsed).alias("by_either"))
 
 
-@query("SELECT event_id, NOT (event_id % 3 = 0) AND (event_id % 2 = 0) AS counts, CASE WHEN event_id % 3 = 0 THEN 'globally-disabled' WHEN NOT (event_id % 2 = 0) THEN 'workspace-disabled' ELSE 'enabled' END AS state, CASE WHEN event_id % 3 = 0 THEN '全局禁用' WHEN NOT (event_id % 2 = 0) THEN '已禁用' ELSE '运行中' END AS badge FROM events")
+@query("SELECT event_id, NOT (event_id % 3 = 0) AND (event_id % 2 = 0) AS counts, CASE WHEN event_id % 3 = 0 THEN 'globally-disabled' WHEN NOT (event_id % 2 = 0) THEN 'workspace-disabled' ELSE 'enabled' END AS state, CASE WHEN event_id % 3 = 0 THEN '{globally-disabled}' WHEN NOT (event_id % 2 = 0) THEN '{workspace-disabled}' ELSE '{enabled}' END AS badge FROM events".format_map(fmt.BADGES))
 def disable_state(spark, sf_dir):
     enabled, off = F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0
     now = flags.state(enabled, off)
@@ -316,8 +319,8 @@ def format_compact(spark, sf_dir):
     return tables.read(spark, sf_dir, "events").select("event_id", fmt.compact(F.round(F.col("value") * 1000).cast("long") * 97).alias("text"))
 
 
-_DUAL = f"'今日 ' || {_compact_sql('duration_ms')} || ' · 累计 ' || {_compact_sql(_MS)}"
-_SWAP = f"'累计 ' || {_compact_sql(_MS)} || ' · 今日 ' || {_compact_sql('duration_ms')}"
+_DUAL = f"'{fmt.TODAY} ' || {_compact_sql('duration_ms')} || '{fmt.BETWEEN}{fmt.TOTAL} ' || {_compact_sql(_MS)}"
+_SWAP = f"'{fmt.TOTAL} ' || {_compact_sql(_MS)} || '{fmt.BETWEEN}{fmt.TODAY} ' || {_compact_sql('duration_ms')}"
 
 
 @query(f"SELECT event_id, {_DUAL} AS text FROM s")
@@ -326,7 +329,7 @@ def format_dual(spark, sf_dir):
     return tables.read(spark, sf_dir, "events").select("event_id", fmt.dual(ms, ms * 97).alias("text"))
 
 
-@query(f"SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN '$(watch) ' || CASE event_id % 3 WHEN 0 THEN {_DUAL} WHEN 1 THEN {_SWAP} ELSE {_compact_sql('duration_ms')} END END AS text, CASE event_id % 3 WHEN 0 THEN 'total-today' WHEN 1 THEN 'compact' ELSE 'today-total' END AS next_mode FROM s")
+@query(f"SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN '{fmt.ICON}' || CASE event_id % 3 WHEN 0 THEN {_DUAL} WHEN 1 THEN {_SWAP} ELSE {_compact_sql('duration_ms')} END END AS text, CASE event_id % 3 WHEN 0 THEN 'total-today' WHEN 1 THEN 'compact' ELSE 'today-total' END AS next_mode FROM s")
 def status_bar_text(spark, sf_dir):
     ms = F.round(F.col("value") * 1000).cast("long")
     mode = F.element_at(F.array(*map(F.lit, fmt.MODES)), (F.col("event_id") % 3).cast("int") + 1)
@@ -362,3 +365,159 @@ def stream_journal_replay(spark, sf_dir):
 def daily_stats_split(spark, sf_dir):
     """An extension: days with sessions cut at midnight."""
     return aggregates.daily_stats(aggregates.split_midnight(_sessions(spark, sf_dir)), ["ws_id"])
+
+
+def _payloads(spark, sf_dir) -> DataFrame:
+    """A stored JSON state for each event, some invalid in one of several ways."""
+    events = tables.read(spark, sf_dir, "events")
+    start, ms = tables.to_ms("ts"), F.round(F.col("value") * 1000).cast("long")
+    number = lambda c: c.cast("string")
+    session = F.concat(F.lit('[{"startMs":'), number(start), F.lit(',"endMs":'), number(start + ms), F.lit(',"durationMs":'), number(ms), F.lit("}]"))
+    good = F.concat(F.lit('{"version":1,"totalMs":'), number(ms), F.lit(',"lastSavedAtMs":'), number(start), F.lit(',"isEnabled":'), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(',"sessions":'), session, F.lit("}"))
+    kind = F.col("event_id") % 6
+    return events.select("event_id", F.when(kind == 0, F.replace(good, F.lit('"version":1,'), F.lit(""))).when(kind == 1, F.concat(F.lit("not json "), good)).when(kind == 2, F.regexp_replace(good, '"totalMs":([0-9]+)', '"totalMs":"$1"')).otherwise(good).alias("value"))
+
+
+@query("SELECT event_id, 1::BIGINT AS version, duration_ms AS total_ms, 0::BIGINT AS current_start_ms, start_ms AS last_saved_ms, event_id % 2 = 0 AS is_enabled, 1 AS session_count, duration_ms AS sessions_ms FROM s WHERE event_id % 6 >= 3")
+def state_decode(spark, sf_dir):
+    rows = state.decode(_payloads(spark, sf_dir))
+    total = F.aggregate("sessions", F.lit(0).cast("long"), lambda a, x: a + x["duration_ms"])
+    return rows.select("event_id", "version", "total_ms", "current_start_ms", "last_saved_ms", "is_enabled", F.size("sessions").alias("session_count"), total.alias("sessions_ms"))
+
+
+@query("SELECT ws_id, name, total_ms, synced_at FROM l")
+def registry_round_trip(spark, sf_dir):
+    """The latest totals of all workspaces, saved as one registry, read back."""
+    registry = state.Registry(spark, shared_folder(spark, "registry"))
+    registry.save(workspaces.latest_sync(_log(spark, sf_dir)), AS_OF)
+    return registry.load().select("ws_id", "name", "total_ms", "synced_at")
+
+
+@query(_LAST.format(c=f"ws_id, end_ms AS ts_ms, duration_ms AS delta_ms, greatest(n - {RING}, 0) AS overwritten", o="end_ms DESC, duration_ms DESC", n=RING))
+def ring_stream(spark, sf_dir):
+    """What the ring buffers of a stream hold after it."""
+    folder = shared_folder(spark, "ring")
+    events = tables.read(spark, sf_dir, "events")
+    before = {k: spark.conf.get(k, None) for k in rings.SETTINGS}
+    for k, v in rings.SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        stream = tables.slices(tables.sessions(streams.parquet_stream(spark, f"{sf_dir}/events.parquet", events.schema)))
+        streams.save_each(rings.ring_stream(stream, RING), lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/checkpoint", once=True).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(rings.OUTPUT).parquet(f"{folder}/out")
+
+
+@query(f"""SELECT i AS line_no, ['# Time export: ws 2', '# Generated: 2024-01-30T12:00:00.000Z', '# Total: ' || (SELECT CAST(sum(duration_ms) AS BIGINT) FROM s WHERE ws_id = '{ONE}') || 'ms', '', 'Session Start,Session End,Duration (ms)'][i + 1] AS line FROM range(5) t(i)
+UNION ALL SELECT 4 + row_number() OVER (ORDER BY start_ms, end_ms, duration_ms), {_ISO.format('start_ms')} || ',' || {_ISO.format('end_ms')} || ',' || duration_ms FROM s WHERE ws_id = '{ONE}'""")
+def csv_file(spark, sf_dir):
+    """The lines of one workspace's file."""
+    own = _sessions(spark, sf_dir).where(F.col("ws_id") == ONE)
+    total = own.agg(F.sum("duration_ms")).first()[0] or 0  # one row
+    text = csv.CsvExporter().export(own, "ws 2", total, AS_OF)
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line_no long, line string")
+
+
+@query("SELECT event_id, greatest(0.0, least(1.0, CAST(event_id % 200 - 50 AS DOUBLE) / 100)) AS ratio FROM events")
+def clamp_ratio(spark, sf_dir):
+    return tables.read(spark, sf_dir, "events").select("event_id", fmt.clamp((F.col("event_id") % 200 - 50).cast("double") / 100).alias("ratio"))
+
+
+@query("SELECT event_id, replace(replace(replace('<b title=\"' || event_id || '\">R&D &lt; ' || event_id || '</b>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text FROM events")
+def escape_text(spark, sf_dir):
+    raw = F.concat(F.lit('<b title="'), F.col("event_id").cast("string"), F.lit('">R&D &lt; '), F.col("event_id").cast("string"), F.lit("</b>"))
+    return tables.read(spark, sf_dir, "events").select("event_id", text.escape_html(raw).alias("text"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id || ' of ' || user_id || ': ' || event_id WHEN 1 THEN '{2} ' || user_id ELSE 'plain {x}' END AS text FROM events")
+def fill_template(spark, sf_dir):
+    rows = tables.read(spark, sf_dir, "events")
+    template = F.element_at(F.array(F.lit("{0} of {1}: {0}"), F.lit("{2} {1}"), F.lit("plain {x}")), (F.col("event_id") % 3).cast("int") + 1)
+    return rows.select("event_id", text.filled(template, F.array(F.col("event_id").cast("string"), F.col("user_id").cast("string"))).alias("text"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 <= 1 THEN 'zh-CN' ELSE 'en' END AS locale FROM events")
+def locale_choice(spark, sf_dir):
+    language = F.element_at(F.array(*map(F.lit, ["zh-cn", "zh", "en-US", "de"])), (F.col("event_id") % 4).cast("int") + 1)
+    return tables.read(spark, sf_dir, "events").select("event_id", text.locale(language).alias("locale"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 2 THEN 'warn' ELSE 'error' END AS level FROM events WHERE event_id % 4 >= 2")
+def log_filter(spark, sf_dir):
+    level = F.element_at(F.array(*map(F.lit, text.LEVELS)), (F.col("event_id") % 4).cast("int") + 1)
+    return tables.read(spark, sf_dir, "events").select("event_id", level.alias("level")).where(text.logged(F.col("level"), "warn"))
+
+
+@query("SELECT CAST(sum(duration_ms) AS DOUBLE) AS total_ms, count(*) AS slices FROM s")
+def flush_journal(spark, sf_dir):
+    """All slices in three batches through a flusher that is replaced after the first; one batch comes twice."""
+    folder = shared_folder(spark, "flush")
+    rows = tables.slices(_sessions(spark, sf_dir)).select("ts_ms", "delta_ms", F.pmod(F.xxhash64("ws_id", "ts_ms"), F.lit(3)).alias("batch"))
+    for i in (0, 1, 1, 2):
+        flusher = streams.Flusher(spark, f"{folder}/waiting", f"{folder}/journal", flags.BySize(0.5), capacity=1024)
+        flusher.push(rows.where(F.col("batch") == i).drop("batch"), i, i * 1000)
+    flusher.flush_all(9_000)
+    return journal.read(spark, f"{folder}/journal").agg(F.sum("delta_ms").alias("total_ms"), F.count(F.lit(1)).alias("slices"))
+
+
+def _manager(spark, sf_dir, folder: str) -> lifecycle.SessionManager:
+    """One workspace's manager, with its state at the checkpoint stored in the second of two places."""
+    places = [state.JsonFile(spark, f"{folder}/{p}") for p in ("primary", "backup")]
+    stored = _state(spark, sf_dir).where(F.col("ws_id") == ONE).select(F.lit(state.VERSION).cast("long").alias("version"), "total_ms", F.lit(0).cast("long").alias("current_start_ms"), "last_saved_ms", F.lit(True).alias("is_enabled"), F.expr("cast(array() as array<struct<start_ms:long,end_ms:long,duration_ms:long>>)").alias("sessions"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    places[1].save(stored)
+    flusher = streams.Flusher(spark, f"{folder}/waiting", f"{folder}/journal")
+    late = tables.slices(_sessions(spark, sf_dir)).where((F.col("ws_id") == ONE) & (F.col("ts_ms") > CHECKPOINT))
+    flusher.take(late.select("ts_ms", "delta_ms"), CHECKPOINT)
+    flusher.flush_all(CHECKPOINT)
+    return lifecycle.SessionManager(spark, ONE, "ws 2", places, flusher, state.Registry(spark, f"{folder}/registry"))
+
+
+_BASE = f"(SELECT CAST(coalesce(sum(duration_ms), 0) AS BIGINT) FROM s WHERE ws_id = '{ONE}')"
+
+
+@query(f"SELECT {_BASE} AS base_ms, 90000::BIGINT AS elapsed_ms, {_BASE} + 90000 AS total_ms, 1::BIGINT AS session_count, 0::BIGINT AS journal_slices, {AS_OF + 90_000} AS saved_at, {_BASE} + 90000 AS registry_ms")
+def session_life(spark, sf_dir):
+    """A session recovers the stored total and its journal, starts, runs ninety seconds, ends, saves and empties the journal."""
+    folder = shared_folder(spark, "life")
+    manager = _manager(spark, sf_dir, folder)
+    base = manager.start(AS_OF)
+    manager.push(AS_OF + 1000, 1000)
+    done = manager.end(AS_OF + 90_000)
+    saved = state.load_first(spark, manager.providers).first()  # one row
+    left = journal.read(spark, manager.flusher.path).count()
+    row = (base, done.elapsed_ms, saved.total_ms, done.session_count, left, saved.last_saved_ms, manager.registry.load().first().total_ms)
+    return spark.createDataFrame([row], "base_ms long, elapsed_ms long, total_ms long, session_count long, journal_slices long, saved_at long, registry_ms long")
+
+
+@query(f"SELECT {_BASE} + 20000 AS total_ms, {AS_OF} AS current_start_ms, {AS_OF + 20_000} AS saved_at, 1::BIGINT AS journal_slices, {_BASE} + 20000 AS registry_ms, {AS_OF + 20_000} AS updated_at")
+def save_now(spark, sf_dir):
+    """Twenty seconds into a session: the journal is flushed since it is due, the state saved, the registry told; the session goes on."""
+    folder = shared_folder(spark, "save")
+    manager = _manager(spark, sf_dir, folder)
+    manager.start(AS_OF)
+    manager.push(AS_OF + 1000, 1000)
+    manager.save_now(AS_OF + 20_000)
+    saved = state.load_first(spark, manager.providers).first()  # one row
+    row = (saved.total_ms, saved.current_start_ms, saved.last_saved_ms, journal.read(spark, manager.flusher.path).count(), manager.registry.load().first().total_ms, manager.registry.last_updated_ms())
+    return spark.createDataFrame([row], "total_ms long, current_start_ms long, saved_at long, journal_slices long, registry_ms long, updated_at long")
+
+
+@query()
+def dashboard_record(spark, sf_dir):
+    """The whole record; its lists as text."""
+    row = dashboard.record(_sessions(spark, sf_dir), _state(spark, sf_dir), _log(spark, sf_dir), ONE, AS_OF)
+    days = F.array_join(F.transform("daily_stats", lambda d: F.concat_ws(":", d["label"], d["weekday"], d["total_ms"].cast("string"))), ",")
+    listed = F.array_join(F.transform("workspace_list", lambda w: F.concat_ws(":", w["name"], w["total_ms"].cast("string"))), ",")
+    return row.withColumns({"daily_stats": days, "workspace_list": listed})
+
+
+ORACLE["dashboard_record"] = ORACLE["dashboard_row"].replace(
+    "AS max_sessions\nFROM st",
+    f"""AS max_sessions, true AS is_enabled, false AS global_disabled,
+(SELECT string_agg(strftime(make_timestamp(at_ms * 1000), '%m-%d') || ':' || {WEEKDAYS}[dayofweek(make_timestamp(at_ms * 1000)) + 1] || ':' || ms, ',' ORDER BY at_ms) FROM (SELECT at_ms,
+ CAST(coalesce((SELECT sum(duration_ms) FROM s WHERE ws_id = '{ONE}' AND start_ms >= at_ms AND start_ms < at_ms + {DAY_MS}), 0) + CASE WHEN at_ms = {_TODAY} THEN (SELECT {_ELAPSED} FROM st WHERE ws_id = '{ONE}') ELSE 0 END AS BIGINT) AS ms FROM (SELECT {_TODAY} - i * {DAY_MS} AS at_ms FROM range(7) t(i)))) AS daily_stats,
+(SELECT string_agg(name || ':' || total_ms, ',' ORDER BY total_ms DESC, name) FROM (SELECT * FROM l ORDER BY total_ms DESC, name LIMIT 1000)) AS workspace_list
+FROM st""",
+)
