@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over documents, each written to shared storage and read again.
 
-Stages take (spark, docs, sf_dir) and return a DataFrame. All but the last return the columns of documents.
+Stages take (spark, docs, sf_dir) and return a DataFrame. All but the last return the columns of documents, whatever
+these are called, and rows with nulls in any of them. What a stage wrote on its way is deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import op1_exact_dedup, op3_sentencepiece, op6_decontaminate, op7_language_id, op10_minhash
-from tidemark.llm.common import table, written
+from tidemark.llm.common import scratch, table
+from tidemark.storage import temporary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{i}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{i}")
     return docs
