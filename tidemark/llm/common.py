@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 from ..storage import shared_folder as scratch
 
 #: Characters of text that a Python worker turns into numpy arrays at once.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 #: Rows and bytes of an Arrow batch; a few very long texts then stay in one batch at most.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+#: A table with one row a key is broadcast up to so many rows; beyond, a key with more rows than the second is dealt to several tasks.
+BROADCAST_ROWS, HOT_ROWS = 2_000, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +33,7 @@ FILE_ROWS = 50_000
 def written(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
     """``df`` written to shared storage and read again: cuts the lineage so that a lost executor costs a reread only.
 
-    With ``most_rows``, a table that has few goes into few files.
+    With ``most_rows``, a table that has few goes into few files: no task then makes more than ``FILE_ROWS`` rows.
     """
     spark = df.sparkSession
     path = f"{scratch(spark, label)}/t"
@@ -65,6 +68,39 @@ def arrow_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def worker(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` over Arrow batches, after which the process gives freed memory back: Python workers live on for later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not every C library has it
+                pass
+
+    return run
+
+
+def per_key(rows: DataFrame, table_: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` left-joined to a written table that has one row for each ``key``.
+
+    A table of at most ``BROADCAST_ROWS`` rows is broadcast. Else the rows of a hot key are dealt by ``spread``, about
+    ``HOT_ROWS`` to a part, and the table has that key's row once for each part. There are fewer hot keys than rows by
+    ``HOT_ROWS``, so their list is broadcast.
+    """
+    if table_.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table_), key, "left")
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n__")).where(F.col("n__") > HOT_ROWS)
+    hot = written(hot.select(key, F.ceil(F.col("n__") / HOT_ROWS).cast("int").alias("parts__")), "hot")
+    parts = F.coalesce("parts__", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("part__", F.pmod(F.xxhash64(spread), parts).cast("int"))
+    repeated = table_.join(F.broadcast(hot), key, "left").withColumn("part__", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts__")
+    return dealt.drop("parts__").join(repeated, [key, "part__"], "left").drop("part__")
+
+
 def whole_text(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

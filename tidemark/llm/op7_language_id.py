@@ -7,11 +7,13 @@ Each language is a class, and so is "unknown" (``und``). Evidence that is combin
 - address: the host's prior, smoothed towards its suffix's (the last label of the host), which is smoothed towards the
   overall one. These are sums of text posteriors by grouped aggregation, without the document's own share.
 
-The trigram models are trained here on at most ``SAMPLE`` rows that a column labels (those whose keys hash lowest).
+The trigram models are trained here on at most ``SAMPLE`` rows of each language that a column labels (those whose keys
+hash lowest); their trigrams are counted by the workers, and the driver gets a count for each bucket and language.
+Of equally likely languages the first in the alphabet is taken.
 
 Null and empty texts, and texts without letters, have no text evidence; a document is ``und`` and not kept if ``und`` is
 likeliest or nothing but the overall prior speaks for a language. A null host (or url) has the overall prior. Repeated
-rows are judged alike. An empty table gives an empty result. Extra columns are not read; those of a filtered table
+rows are judged alike. Very long texts are read whole. An empty table gives an empty result. Extra columns are not read; those of a filtered table
 stay.
 """
 
@@ -22,13 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, blocks, located, table, whole_text, with_locator, written
-from .rows import bounded_sample, without
+from .common import arrow_batches, blocks, located, per_key, table, whole_text, with_locator, worker, written
+from .rows import fetched, without
 
-SAMPLE, BUCKETS = 3_000, 1 << 14
+SAMPLE, BUCKETS = 1_000, 1 << 14
 TEMPER, TRUST, UNKNOWN = 0.3, 0.9, 0.01
 #: Documents that the prior above weighs as, for a host and for a suffix.
 HOST_WEIGHT, SUFFIX_WEIGHT = 5.0, 20.0
@@ -72,26 +74,55 @@ class Model:
         return sums * TEMPER, counts
 
 
+def model_of(counts: dict[str, np.ndarray]) -> Model:
+    """counts: how often each bucket occurs in each language."""
+    languages = sorted(counts)
+    logs = [np.log((counts[x] + 0.1) / (counts[x].sum() + 0.1 * BUCKETS)) for x in languages]
+    return Model(languages, np.array(logs, np.float32).reshape(len(languages), BUCKETS).T.copy())
+
+
 def train(rows: list[tuple[str | None, str | None]]) -> Model:
     """rows: text, language. Rows without a language don't count."""
-    by: dict[str, list[str]] = {}
+    counts: dict[str, np.ndarray] = {}
     for text, language in rows:
         if language:
-            by.setdefault(language, []).append(text or "")
-    languages = sorted(by)
-    table_ = np.zeros((BUCKETS, len(languages)), np.float32)
-    for i, x in enumerate(languages):
-        counts = np.zeros(BUCKETS)
-        for start in range(0, len(by[x]), 200):
-            counts += np.bincount(trigrams(by[x][start : start + 200])[0], minlength=BUCKETS)
-        table_[:, i] = np.log((counts + 0.1) / (counts.sum() + 0.1 * BUCKETS))
-    return Model(languages, table_)
+            counts.setdefault(language, np.zeros(BUCKETS))
+            counts[language] += np.bincount(trigrams([text or ""])[0], minlength=BUCKETS)
+    return model_of(counts)
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, most: int = SAMPLE) -> Model:
+    """A model trained on at most ``most`` rows of each language, whatever share of all rows it has. ``docs``: read from files."""
+    arrow_batches(docs.sparkSession)
+    label = F.col(f"`{label_col}`").cast("string")
+    rows = with_locator(docs, label.alias("language"), F.xxhash64(F.col(f"`{id_col}`")).alias("h")).where("language <> ''")
+    sizes = written(rows.groupBy("language").agg(F.count(F.lit(1)).alias("n")), "languages")
+    # of a language with many rows a share that has enough; what is ranked is then bounded for each language
+    share = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.lit(2.0 * most * (1 << 30)) / F.col("n")
+    order = Window.partitionBy("language").orderBy("h", "path", "row")
+    chosen = per_key(rows, sizes, "language", F.col("row")).where(share).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    texts = fetched(docs, written(chosen.select("path", "row"), "sample"), label.alias("language"), whole_text(text_col).alias("text")).select("language", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in blocks(batch, 1):
+                names = part.column(0).dictionary_encode()
+                code = np.asarray(names.indices)
+                bucket, text = trigrams(found)
+                key, n = np.unique(code[text].astype(np.int64) * BUCKETS + bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(key // BUCKETS)), pa.array(key % BUCKETS), pa.array(n.astype(np.int64))], names=["language", "bucket", "n"])
+
+    counted = texts.mapInArrow(worker(work), "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    counts = {r[0]: np.zeros(BUCKETS) for r in sizes.select("language").collect()}
+    for language, bucket, n in counted.collect():  # at most BUCKETS rows a language
+        counts[language][bucket] = n
+    return model_of(counts)
 
 
 def declared_in(text: Column) -> Column:
     """Two letters of the language that an html tag declares, or null."""
     found = F.regexp_extract(text, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1)
-    return F.when(text.contains("<html") | text.contains("<HTML"), F.nullif(F.lower(found), F.lit("")))
+    return F.when(text.rlike("<[Hh][Tt][Mm][Ll]"), F.nullif(F.lower(found), F.lit("")))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str, text_col: str, host: Column, declared: Column | None) -> DataFrame:
@@ -105,12 +136,12 @@ def scored(docs: DataFrame, model: Model, id_col: str, text_col: str, host: Colu
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = len(model.languages) + 1
         for batch in batches:
-            for part, texts in blocks(batch, 5, 1_000_000):
+            for part, texts in blocks(batch, 5):
                 sums, counts = model.log_likelihoods(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts.astype(np.int64)), lists], names=["path", "row", "doc_id", "host", "declared", "n", "text_ll"])
 
-    return inner.mapInArrow(work, "path string, row long, doc_id long, host string, declared string, n long, text_ll array<double>")
+    return inner.mapInArrow(worker(work), "path string, row long, doc_id long, host string, declared string, n long, text_ll array<double>")
 
 
 def _normalised(logs: Column) -> Column:
@@ -135,7 +166,7 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     smoothed = lambda counts, up, weight: F.zip_with(counts, up, lambda n, p: (n + p * weight) / (F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) + weight))
     suffixes = by_suffix.select("suffix", smoothed(pack("s"), overall, SUFFIX_WEIGHT).alias("up"))
     hosts = written(by_host.join(suffixes, "suffix").where("host is not null").select("host", pack("h").alias("counts"), "up"), "priors")
-    known = rows.join(hosts, "host", "left")
+    known = per_key(rows, hosts, "host", F.col("row"))
     without_own = F.zip_with("counts", "own", lambda n, o: F.greatest(n - o * speaks, F.lit(0.0)))
     prior = F.when(F.col("counts").isNotNull(), smoothed(without_own, F.col("up"), HOST_WEIGHT)).otherwise(overall)
     known = known.withColumn("prior", prior)
@@ -157,7 +188,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     """
     docs = located(docs)
     if model is None:
-        model = train([tuple(r) for r in bounded_sample(docs.where(F.col(f"`{label_col}`").isNotNull()), id_col, SAMPLE, f"`{text_col}`", f"`{label_col}`")])
+        model = fit(docs, id_col, text_col, label_col)
     host = F.lit(None) if host is None else host
     return fuse(written(scored(docs, model, id_col, text_col, host, declared), "scored"), model.languages)
 

@@ -3,11 +3,12 @@
 The UTF-8 bytes of the whole text are embedded; learned filters run over overlapping chunks of ``WIDTH`` bytes, one every
 ``STRIDE`` bytes from the first to the last; each filter's greatest response over the whole text is kept, and a logistic
 unit combines these into one probability. Training is by Adam on the log loss, on at most ``SAMPLE`` labelled rows (those
-whose ids hash lowest) that are not held out: a row is held out if the CRC-32 of its id as text is 2 modulo 4. Nothing
-but the text enters a score.
+whose ids hash lowest, each whole, as far as ``TRAIN_BYTES`` go round) that are not held out: a row is held out if the
+CRC-32 of its id as text is 2 modulo 4. Nothing but the text enters a score. Very long texts are scored in whole.
 
 Null text counts as empty; an empty text is one chunk of padding and has a score like any other. Without labelled rows
-every score is 0.5. Null ids are not held out. Repeated rows get the same score. An empty table gives an empty result.
+every score is 0.5. Null ids are not held out and don't train; of several labels of an id the greatest counts, of several
+texts the first in order. Repeated rows get the same score. An empty table gives an empty result.
 Extra columns stay, but for ones named like an output.
 """
 
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, blocks, table, whole_text
-from .rows import bounded_sample
+from .common import arrow_batches, blocks, table, whole_text, worker, written
 
 WIDTH, STRIDE, EMBED, FILTERS = 12, 4, 8, 32
 SAMPLE, EPOCHS, BATCH, RATE, THRESHOLD = 4_000, 12, 32, 0.004, 0.7
+#: Bytes of text that training takes; a row that would go beyond is left out.
+TRAIN_BYTES = 64 << 20
 
 
 def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,6 +69,19 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(pooled @ self.weights + self.offset, -30, 30).astype(float)))
 
 
+def gradient(net: Network, symbols: np.ndarray, label: float, weight: float = 1.0) -> dict[str, np.ndarray]:
+    """The log loss of one text, times ``weight``, by each parameter; by embed as positions (symbols) and values."""
+    x = net.chunks(symbols)
+    response = x @ net.filters
+    best = response.argmax(0)
+    pooled = np.maximum(response[best, np.arange(response.shape[1])] + net.bias, 0)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ net.weights + net.offset, -30, 30)))
+    d = np.float32((p - label) * weight)
+    back = d * net.weights * (pooled > 0)
+    at = best[:, None] * STRIDE + np.arange(WIDTH)
+    return {"offset": d, "weights": d * pooled, "bias": back, "filters": x[best].T * back, "at": symbols[at], "embed": (net.filters.T * back[:, None]).reshape(-1, WIDTH, EMBED)}
+
+
 def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int = 7) -> Network:
     """rows: text, label 0 or 1."""
     rng = np.random.default_rng(seed)
@@ -88,19 +103,10 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
             batch = order[start : start + BATCH]
             grad = {n: np.zeros_like(getattr(net, n), dtype=np.float32) for n in names}
             for i in batch:
-                x = net.chunks(data[i])
-                response = x @ net.filters
-                best = response.argmax(0)
-                pooled = np.maximum(response[best, np.arange(FILTERS)] + net.bias, 0)
-                p = 1 / (1 + np.exp(-np.clip(pooled @ net.weights + net.offset, -30, 30)))
-                d = np.float32((p - labels[i]) / len(batch))
-                grad["offset"] += d
-                grad["weights"] += d * pooled
-                back = d * net.weights * (pooled > 0)
-                grad["bias"] += back
-                grad["filters"] += x[best].T * back
-                at = best[:, None] * STRIDE + np.arange(WIDTH)
-                np.add.at(grad["embed"], data[i][at], (net.filters.T * back[:, None]).reshape(FILTERS, WIDTH, EMBED))
+                one = gradient(net, data[i], labels[i], 1 / len(batch))
+                np.add.at(grad["embed"], one.pop("at"), one.pop("embed"))
+                for n, g in one.items():
+                    grad[n] += g
             step += 1
             rate = RATE * (1 - step / (steps + 1))
             for n in names:
@@ -119,12 +125,22 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network trained on a bounded sample of the labelled rows that are not held out."""
     usable = labels.where(~held_out(id_col) & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull())
-    chosen = bounded_sample(usable, id_col, SAMPLE, f"`{id_col}`", f"`{label_col}`")
+    one_label = usable.groupBy(F.col(f"`{id_col}`").alias("id__")).agg(F.max(F.col(f"`{label_col}`")).cast("int").alias("label__"))
+    chosen = one_label.orderBy(F.xxhash64("id__"), "id__").limit(SAMPLE).collect()
     if not chosen:
         return train([])
-    ids = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in chosen], "id__ long, label__ int")  # SAMPLE rows at most
-    rows = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text_col}`").alias("text_")).join(F.broadcast(ids), F.col("id_") == F.col("id__"))
-    return train([(r[1], r[2]) for r in sorted(rows.select("id__", "text_", "label__").limit(2 * SAMPLE).collect(), key=lambda r: (r[0], r[1] or ""))])
+    place = {r["id__"]: i for i, r in enumerate(chosen)}
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], one_label.schema)  # SAMPLE rows at most
+    texts = docs.select(F.col(f"`{id_col}`").alias("id__"), whole_text(text_col).alias("text__")).join(F.broadcast(ids), "id__")
+    texts = written(texts.groupBy("id__").agg(F.min("text__").alias("text__"), F.max("label__").alias("label__")), "labelled")
+    left, taken = TRAIN_BYTES, []
+    for i, size in sorted(texts.select("id__", F.octet_length("text__")).collect(), key=lambda r: place[r[0]]):
+        if size <= left:
+            left -= size
+            taken.append((i,))
+    wanted = docs.sparkSession.createDataFrame(taken, ids.select("id__").schema)
+    rows = texts.join(F.broadcast(wanted), "id__").collect()  # TRAIN_BYTES at most
+    return train([(r["text__"], r["label__"]) for r in sorted(rows, key=lambda r: place[r["id__"]])])
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
@@ -137,10 +153,10 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in blocks(batch, len(names), 500_000):
+            for part, texts in blocks(batch, len(names), 250_000):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(net.scores(texts))], names=[*names, "score"])
 
-    return inner.mapInArrow(work, schema).select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], "score")
+    return inner.mapInArrow(worker(work), schema).select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], "score")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
