@@ -4,8 +4,11 @@ Documents land as (digest, identifier, locator): the SHA-256 of the text, the do
 content (file, row in file). A stream over the landed rows keeps, for each digest, the largest identifier with its
 locator, and the number of texts seen, in RocksDB state without a watermark; equal digests are combined before the
 shuffle, so a text that is a third of all rows costs each task one row. New rows continue from the stored state.
-Digests that were seen more than once are hits: their contents are fetched by locator and grouped by digest and full
-bytes. A digest with two different contents (a collision) is split by its bytes.
+Digests that were seen more than once are hits: their contents are fetched by locator (no other text leaves the scan)
+and grouped by digest and full bytes, equal ones once a task. A digest with two different contents (a collision) is
+split by its bytes.
+
+``add`` lands a batch under a name: called again with that name, after a failure, it doesn't land or count it again.
 
 Null text counts as empty; texts are compared as they are. Of equal texts the row with the largest id stays; null
 ids count as smallest; among repeated rows of the same id and text the one with the last locator stays, so exactly
@@ -15,19 +18,22 @@ are called.
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import exists
 from .common import located, scratch, table, whole_text, with_locator, written
-from .rows import without
+from .rows import fetched, without
 
-#: Session settings while the stream runs: state on disk, its memory shared and bounded.
+#: Session settings while the stream runs: state on disk, closed when a batch is done, its memory shared and bounded.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # else each partition's store stays in the executor
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition reserves megabytes of disk
 }
 LANDED = "digest binary, doc_id long, path string, row long"
@@ -57,18 +63,20 @@ class Deduplicator:
         self.folder = folder or scratch(spark, "dedup")
         self.landing, self.checkpoint = f"{self.folder}/landing", f"{self.folder}/state"
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Lands the documents and runs the stream over what is new."""
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> None:
+        """Lands the documents, unless a batch of this name has landed, and runs the stream over what is new."""
         rows = with_locator(docs, self.digest(whole_text(text_col)).alias("digest"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
-        rows.write.mode("append").parquet(self.landing)
+        place = f"{self.landing}/{batch or uuid.uuid4().hex}"
+        if not exists(self.spark, f"{place}/_SUCCESS"):
+            rows.write.mode("overwrite").parquet(place)
         with _settings(self.spark, STATE):
-            seen = self.spark.readStream.schema(LANDED).parquet(self.landing)
+            seen = self.spark.readStream.schema(LANDED).parquet(f"{self.landing}/*")
             state = seen.groupBy("digest").agg(F.max(F.struct("doc_id", "path", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
             query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
             query.awaitTermination()
 
     def landed(self) -> DataFrame:
-        return self.spark.read.schema(LANDED).parquet(self.landing)
+        return self.spark.read.schema(LANDED).parquet(f"{self.landing}/*")
 
     def state(self) -> DataFrame:
         """digest, keep (doc_id, path, row), n: what the stream has stored."""
@@ -81,9 +89,9 @@ class Deduplicator:
         """path, row, doc_id, keep_id, group_size, kept, text_sha256 of every landed row. ``docs``: the documents added."""
         state = written(self.state(), "dedup-state")
         decided = self.landed().join(state, "digest")
-        contents = with_locator(docs, whole_text(text_col).alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
-        hits = decided.where("n > 1").select("digest", "path", "row")
-        bytes_of = hits.join(contents, ["path", "row"])
+        hits = decided.where("n > 1").select("path", "row")
+        text = whole_text(text_col)
+        bytes_of = fetched(docs, hits, self.digest(text).alias("digest"), text.alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
         classes = bytes_of.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "path", "row")).alias("keep_"), F.count(F.lit(1)).alias("n_"))
         collided = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
         if not collided.isEmpty():
