@@ -14,6 +14,10 @@ representative of two linked texts differ by 1 - similarity at most, so the buck
 own shingles leave too little to share go; and what stays mixed gets representatives from its smallest components, four times as many in each round, against members that can share enough, until every bucket
 has one component or all its members have been compared. No partner is left out and no count is capped.
 
+Texts of bucket members only are read again, by their places. Pairs are dealt by representative, sorted, and compared
+as they stream by: the representative's text comes first and once for up to ``CHUNK`` members, so a representative of a
+third of all texts is many tasks' and no side of a join is held in memory.
+
 Null text counts as empty. Texts without words are classes of their equals. Repeated rows and repeated or null ids
 are members like any other. An empty table gives an empty result. Extra columns are not read.
 """
@@ -27,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, blocks, located, mix, scratch, table, whole_text, with_locator, written
-from .rows import without
-from .shingles import overlaps, shingles, weighted, words
+from .common import arrow_batches, blocks, located, mix, table, whole_text, with_locator, worker, written
+from .rows import fetched, without
+from .shingles import shared_with, shingles, weighted, words
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -37,6 +41,8 @@ BANDS, ROWS = 24, 5
 TEXTS = 256
 #: Representatives that a mixed bucket gets in the first round; rounds go on until no bucket is mixed.
 REPRESENTATIVES = 64
+#: Members that are compared with one copy of their representative's text.
+CHUNK = 5_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,7 +105,7 @@ def sketches(docs: DataFrame, text_col: str, id_col: str, n: int, bands: int, ro
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in blocks(batch, 4, 1_000_000):
+            for part, texts in blocks(batch, 4):
                 keys, weights = weighted(*shingles(*words(texts), n))
                 cut = [*range(0, len(texts), TEXTS), len(texts)]  # short texts have as many darts as long ones
                 at = np.searchsorted(keys, np.asarray(cut, np.uint64) << np.uint64(44))
@@ -109,24 +115,43 @@ def sketches(docs: DataFrame, text_col: str, id_col: str, n: int, bands: int, ro
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(key.ravel()), mask=pa.array(~has))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=["node", "doc_id", "path", "row", "bands"])
 
-    return inner.mapInArrow(work, "node binary, doc_id long, path string, row long, bands array<long>")
+    return inner.mapInArrow(worker(work), "node binary, doc_id long, path string, row long, bands array<long>")
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """a, b, sim, both, size_b of each pair, from whole texts: weighted Jaccard similarity, shared weight, weight of b. texts: nid, text."""
-    side = lambda c: texts.select(F.col("nid").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("b").hint("shuffle_hash"), "b").join(side("a").hint("shuffle_hash"), "a").select("a", "b", "text_a", "text_b")
+    parts = F.ceil(F.col("n") / CHUNK)
+    loads = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts), "loads")
+    heads = loads.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    heads = heads.join(texts, heads.a == texts.nid).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    members = pairs.join(loads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    members = members.join(texts, members.b == texts.nid).select("a", "part", "b", "text")
+    dealt = heads.unionAll(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: tuple[np.ndarray, np.ndarray] | None = None  # of the representative whose members go on in the next block
         for batch in batches:
-            for part, right in blocks(batch, 3, 500_000):
-                for more, left in blocks(part, 2, 500_000):
-                    at = more.column(3).to_pylist() if len(left) < len(right) else right
-                    shared, wa, wb = overlaps(left, at, n)
-                    sim = np.where(wa + wb > 0, shared / np.maximum(wa + wb - shared, 1), 0.0)
-                    yield pa.RecordBatch.from_arrays([more.column(0), more.column(1), pa.array(sim), pa.array(shared), pa.array(wb)], names=["a", "b", "sim", "both", "size_b"])
-
-    return both.mapInArrow(work, "a long, b long, sim double, both long, size_b long")
+            for part, found in blocks(batch, 3, 250_000):
+                keys, weights = weighted(*shingles(*words(found), n))
+                at = np.searchsorted(keys, np.arange(len(found) + 1, dtype=np.uint64) << np.uint64(44))
+                hashes = keys & np.uint64((1 << 44) - 1)
+                sizes = np.diff(np.concatenate([[0], np.cumsum(weights)])[at])
+                is_head = np.asarray(part.column(2).is_null())
+                first = np.flatnonzero(is_head)
+                both, size_a = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+                for low, high in zip([0, *first.tolist()], [*first.tolist(), len(found)], strict=True):
+                    if low < high and is_head[low]:
+                        head = hashes[at[low] : at[low + 1]], weights[at[low] : at[low + 1]]
+                        low += 1
+                    if low < high:
+                        both[low:high] = shared_with(*head, hashes[at[low] : at[high]], weights[at[low] : at[high]], at[low : high + 1] - at[low])
+                        size_a[low:high] = head[1].sum()
+                total = size_a + sizes
+                sim = np.where(total > 0, both / np.maximum(total - both, 1), 0.0)
+                rows = pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sim), pa.array(both), pa.array(sizes)], names=["a", "b", "sim", "both", "size_b"])
+                yield rows.filter(pa.array(~is_head))
+
+    return dealt.mapInArrow(worker(work), "a long, b long, sim double, both long, size_b long")
 
 
 def shares(texts: DataFrame, n: int) -> DataFrame:
@@ -134,7 +159,7 @@ def shares(texts: DataFrame, n: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, found in blocks(batch, 1, 500_000):
+            for part, found in blocks(batch, 1, 250_000):
                 keys, weights = weighted(*shingles(*words(found), n))
                 at = np.repeat(np.arange(len(keys)), weights)
                 unit = np.arange(len(at)) - np.repeat(np.cumsum(weights) - weights, weights)
@@ -142,7 +167,7 @@ def shares(texts: DataFrame, n: int) -> DataFrame:
                 owner = part.column(0).to_numpy()[(keys[at] >> np.uint64(44)).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(token.view(np.int64))], names=["nid", "token"])
 
-    return texts.select("nid", "text").mapInArrow(work, "nid long, token long")
+    return texts.select("nid", "text").mapInArrow(worker(work), "nid long, token long")
 
 
 def components(edges: DataFrame, most_rows: int | None = None) -> DataFrame:
@@ -181,7 +206,8 @@ class Classes:
         self.members = written(shared.select("key", "nid").join(stars.select("key", (-F.col("r.nid")).alias("rep")), "key"), "buckets")
         self.n_members = self.members.count()
         ids = self.members.select("nid").distinct().join(self.nodes.select("nid", "at"), "nid").select("nid", F.col("at.path").alias("path"), F.col("at.row").alias("row"))
-        contents = with_locator(docs, whole_text(text_col).alias("text"))
+        ids = written(ids, "members", self.n_members)
+        contents = fetched(docs, ids.select("path", "row"), whole_text(text_col).alias("text"))
         self.texts = written(contents.join(ids, ["path", "row"]).select("nid", "text"), "texts")
         self.rounds = 0
         self.comps = self._link()
@@ -214,7 +240,7 @@ class Classes:
             pairs = pairs.select(F.least("r_nid", "nid").alias("a"), F.greatest("r_nid", "nid").alias("b")).distinct()
             known = self.tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             new = written(similarities(pairs.join(known, ["a", "b"], "left_anti"), self.texts, self.n), "similarities")
-            self.tested = written(self.tested.union(new), "similarities", self.tested.count() + new.count())
+            self.tested = self.tested.union(new)  # one more table of files
             mixed = mixed.join(reps.select("key", F.col("r_nid").alias("nid")), ["key", "nid"], "left_anti")
             found = new.where(F.col("sim") >= self.similarity).select("a", "b")
             if not found.isEmpty():

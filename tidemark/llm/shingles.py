@@ -64,15 +64,24 @@ def weighted(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return key[first], np.diff(np.concatenate([first, [len(key)]]))
 
 
+def shared_with(one: np.ndarray, weight: np.ndarray, hashes: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Weight that each of several texts shares with one. one, weight: its distinct shingles in order and how often each occurs; hashes, weights: theirs, text i's from ``ends[i]`` to ``ends[i + 1]``."""
+    if not len(one) or not len(hashes):
+        return np.zeros(len(ends) - 1, np.int64)
+    at = np.minimum(np.searchsorted(one, hashes), len(one) - 1)
+    sums = np.concatenate([[0], np.cumsum(np.where(one[at] == hashes, np.minimum(weight[at], weights), 0))])
+    return np.diff(sums[ends])
+
+
 def overlaps(left: list[str], right: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each pair of texts: weight of what their shingle counts share, weight of the left, of the right."""
-    a, wa = weighted(*shingles(*words(left), n))
-    b, wb = weighted(*shingles(*words(right), n))
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    size = len(left)
-    pair = lambda k: (k >> np.uint64(44)).astype(np.int64)
-    total = lambda k, w: np.bincount(pair(k), w, size).astype(np.int64)
-    return total(a[i], np.minimum(wa[i], wb[j])), total(a, wa), total(b, wb)
+    both, size = [], ([], [])
+    for pair in zip(left, right, strict=True):
+        (a, wa), (b, wb) = (weighted(*shingles(*words([t]), n)) for t in pair)
+        both.append(int(shared_with(a, wa, b, wb, np.array([0, len(b)]))[0]))
+        for x, w in zip(size, (wa, wb), strict=True):
+            x.append(int(w.sum()))
+    return np.array(both, np.int64), np.array(size[0], np.int64), np.array(size[1], np.int64)
 
 
 def jaccard(left: list[str], right: list[str], n: int) -> np.ndarray:
