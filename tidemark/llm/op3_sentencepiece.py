@@ -6,7 +6,8 @@ A worker keeps a table of distinct chunks; each is segmented by the library once
 block are put together by position with one gather. The table lives in the task: it needs no shuffle of words,
 is rebuilt after an executor is lost, and starts anew when it outgrows its bound, which changes no result.
 
-Null text counts as empty: no ids, decoded "". Extra columns are kept, but for ones named like an output
+Null text counts as empty: no ids, decoded "". Repeated rows have the same ids; very long texts are encoded whole; an empty
+table gives an empty result. Extra columns are kept, but for ones named like an output
 (``ids``, ``n_tokens``, ``decoded``), which the output replaces.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, blocks, table, whole_text
+from .common import arrow_batches, blocks, table, whole_text, worker
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -104,7 +105,7 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str | None = Non
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(ends)), lists, pa.array(decoded, pa.string())], names=[*names, *outputs])
 
-    out = inner.mapInArrow(work, schema)
+    out = inner.mapInArrow(worker(work), schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], *outputs)
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, blocks, located, mix, table, whole_text, with_locator
+from .common import arrow_batches, blocks, located, mix, table, whole_text, with_locator, worker
 from .rows import without
 
 SIMILARITY, RECALL = 0.8, 0.95
@@ -388,14 +388,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(block, similarity)
             for batch in batches:
-                for part, texts in blocks(batch, 3, 1_000_000):
+                for part, texts in blocks(batch, 3):
                     rows = list(index.hits(texts))
                     if rows:
                         at, *columns = zip(*rows, strict=True)
                         doc = part.take(pa.array(at))
                         yield pa.RecordBatch.from_arrays([*doc.columns[:3], pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=names)
 
-        return work
+        return worker(work)
 
     stream = items.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("long"), F.col(f"`{item_text}`")).toLocalIterator()
     out = None
