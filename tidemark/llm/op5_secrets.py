@@ -17,7 +17,9 @@ the data; probabilities are rounded up to the bin's edge). Tokens found are span
 patterns' own.
 
 Null text counts as empty: no spans, "" as digest input and span list. Repeated rows count as often as they occur in
-the control. An empty table gives an empty result. Extra columns are kept but for those named like an output.
+the control. An empty table gives an empty result. Extra columns are kept but for those named like an output
+(``assign``, ``access``, ``hex``, ``random``, ``candidates``, ``rid__``). No SQL stands beside the query, since its span
+list has the battery's tokens too; tests hold patterns, battery and control against brute force.
 """
 
 from __future__ import annotations
@@ -51,24 +53,47 @@ ENCODINGS = {
 }
 REJECT, RATE = 0.001, 0.05
 CLASSES, LEVELS, STEP = (20, 28, 40, 64, 128), 400, 20.0
+#: Sizes that ``running`` sums in one piece.
+BLOCK = 64
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(sizes: Column, levels: int = 3) -> Column:
+    """The sum of all sizes before each. Sums run within blocks of ``BLOCK`` and then over the blocks' totals, so up to ``BLOCK ** levels`` sizes take linear time."""
+    none = F.expr("cast(array() as array<int>)")
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    summed = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+    if levels == 1:
+        return summed(sizes)["out"]
+    starts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))
+    shifted = lambda blocks: F.zip_with(blocks, running(F.transform(blocks, lambda x: x["at"]), levels - 1), lambda x, by: F.transform(x["out"], lambda y: y + by))
+    return F.when(F.size(sizes) > 0, F.flatten(_let(F.transform(starts, lambda i: summed(F.slice(sizes, i * BLOCK + 1, BLOCK))), shifted))).otherwise(none)
 
 
 def _matches(text: Column, pattern: str, worth: Column, least: int, group: int = 0, token: bool = False) -> Column:
     """Spans start, end (and token) of a pattern's matches whose ``group`` has ``least`` characters; ``worth``: a cheap test that there may be any."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    rows = F.zip_with(F.zip_with(found, value, lambda m, v: F.struct(F.length(m).alias("n"), F.length(v).alias("v"), m.alias("token"))), F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m["n"].alias("n"), m["v"].alias("v"), b.alias("b"), m["token"].alias("token")))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.lit(None)
+    read = F.struct(found.alias("m"), value.alias("v"), F.transform(F.split(text, pattern, -1), F.length).alias("between"))
     fields = "start:int,end:int,ok:boolean" + (",token:string" if token else "")
-    empty = F.expr(f"cast(array() as array<struct<{fields}>>)")
 
-    def step(acc, m):
-        start = acc["at"] + m["b"]
-        span = [start.alias("start"), (start + m["n"]).alias("end"), (m["v"] >= least).alias("ok")] + ([m["token"].alias("token")] if token else [])
-        return F.struct((start + m["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(*span))).alias("out"))
+    def spans(x):
+        def span(start_of):
+            def one(m, i):
+                start = F.get(start_of, i) + F.get(x["between"], i)
+                parts = [start.alias("start"), (start + F.length(m)).alias("end"), (F.length(F.get(x["v"], i) if group else m) >= least).alias("ok")]
+                return F.struct(*parts, *([m.alias("token")] if token else []))
+
+            return F.filter(F.transform(x["m"], one), lambda s: s["ok"])
+
+        sizes = F.transform(x["m"], lambda m, i: F.length(m) + F.get(x["between"], i))
+        return _let(_let(sizes, lambda s: running(s)), span)
 
-    spans = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: F.filter(acc["out"], lambda x: x["ok"]))
-    return F.when(worth, spans).otherwise(empty)
+    return F.when(worth, _let(read, spans)).otherwise(F.expr(f"cast(array() as array<struct<{fields}>>)"))
 
 
 def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
