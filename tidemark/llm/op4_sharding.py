@@ -6,7 +6,8 @@ table is full. A key's hash picks a slot in constant time. The table has ``size`
 broadcast. Adding or removing a shard moves few keys beyond its own share.
 
 Keys: null and missing parts count as one fixed value of their own, so that rows with null keys go to one shard
-(shard by a unique key such as an id where a key value may be hot). Repeated rows go to the same shard.
+(shard by a unique key such as an id where a key value may be hot). Repeated rows go to the same shard. Keys are hashed
+whole, however long. An empty table gives an empty result; an empty list of keys is refused.
 """
 
 from __future__ import annotations
@@ -65,6 +66,8 @@ def slot_of(*cols: str, size: int = SIZE):
 
 def place(df: DataFrame, keys: list[str], shards: list[str] | None = None, size: int = SIZE, weights: list[int] | None = None) -> DataFrame:
     """Adds ``slot`` and ``shard`` (a shard's name) to every row; columns of those names are replaced. No shuffle."""
+    if not keys:
+        raise ValueError("keys must name at least one column")
     shards = shards or [f"shard-{i:05d}" for i in range(SHARDS)]
     slots = fill(shards, size, weights)
     spark = df.sparkSession
