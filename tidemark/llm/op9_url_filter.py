@@ -4,11 +4,12 @@ Rules. A rule (verdict, host + path) fits a url whose host is the rule's or one
 with the rule's; of several the longest wins (of equal rules the first given).
 
 Tree. Path segments are generalised by shape: hexadecimal keys of 16 and more become ``<h>``, runs of digits ``<n>``,
-segments over 40 characters ``<x>``; a path has ``DEPTH`` levels, deeper segments are one. Counts of pages, labelled
+segments over 40 characters ``<x>``; a path has ``DEPTH`` levels, deeper segments, generalised alike, are one. Counts of pages, labelled
 pages and bad ones are summed by host and shape first (partial sums before the shuffle, so a hot host costs each task
 a row per shape); the tree is built from those. Level by level, a branch keeps its own place only if its bad share
 differs from its pooled siblings' by a two-proportion test; similar and thin branches merge into ``*`` and have their
-parent's bad share. A branch of its own has its share smoothed towards its parent's, a host towards the overall one. A template is blocked when its
+parent's bad share. (Rows of a hot host or branch that meet its one row in a join are split by adaptive execution.)
+A branch of its own has its share smoothed towards its parent's, a host towards the overall one. A template is blocked when its
 smoothed purity (share of good pages) is under ``PURITY``.
 
 A page's label is found by the last number in its url's path. Null urls and urls without ``://`` have an empty host and
@@ -53,10 +54,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def shape(path: Column) -> Column:
-    """The generalised segments of a path, DEPTH of them at most."""
+    """The generalised segments of a path; those from the last level on are one."""
     parts = F.split(F.regexp_replace(path, r"^/", ""), "/")
     general = lambda s: F.when(s.rlike("^[0-9a-f]{16,}$"), F.lit("<h>")).when(F.length(s) > 40, F.lit("<x>")).otherwise(F.regexp_replace(s, "[0-9]+", "<n>"))
-    return F.transform(F.slice(F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, 1_000_000), "/"))), 1, F.least(F.size(parts), F.lit(DEPTH))), general)
+    parts = F.transform(parts, general)
+    tail = F.array(F.array_join(F.slice(parts, DEPTH, F.size(parts)), "/"))
+    return F.when(F.size(parts) < DEPTH, parts).otherwise(F.concat(F.slice(parts, 1, DEPTH - 1), tail))
 
 
 def templates(counted: DataFrame) -> DataFrame:
@@ -126,8 +129,8 @@ def oracle_sql() -> str:
     sql = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 s AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS parts, TRY_CAST(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS key FROM p),
-g AS (SELECT *, list_transform(list_concat(parts[1:{DEPTH - 1}], CASE WHEN len(parts) >= {DEPTH} THEN [array_to_string(parts[{DEPTH}:], '/')] ELSE [] END),
-  lambda x: CASE WHEN regexp_matches(x, '^[0-9a-f]{{16,}}$') THEN '<h>' WHEN length(x) > 40 THEN '<x>' ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END) AS shape FROM s),
+e AS (SELECT * EXCLUDE (parts), list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '^[0-9a-f]{{16,}}$') THEN '<h>' WHEN length(x) > 40 THEN '<x>' ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END) AS parts FROM s),
+g AS (SELECT *, list_concat(parts[1:{DEPTH - 1}], CASE WHEN len(parts) >= {DEPTH} THEN [array_to_string(parts[{DEPTH}:], '/')] ELSE [] END) AS shape FROM e),
 m AS (SELECT doc_id AS key, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 c AS (SELECT host, shape, count(m.bad) AS labelled, coalesce(sum(m.bad), 0) AS bad FROM g LEFT JOIN m ON g.key = m.key GROUP BY host, shape),
 o AS (SELECT CASE WHEN sum(labelled) > 0 THEN CAST(sum(bad) AS DOUBLE) / sum(labelled) ELSE 0 END AS overall FROM c),
