@@ -232,9 +232,12 @@ def importance(read: DataFrame) -> DataFrame:
     def measured(by: list[str], styles: DataFrame, lines: DataFrame, tag: str) -> DataFrame:
         kinds = styles.groupBy(*by).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count(F.lit(1)).alias("l"), *means)
         kinds = kinds.withColumn("style_imp", F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(1.0))
-        known = lines.join(kinds.select(*by, "m"), by)
-        seen = F.when(F.col("m") > 1, F.log("n") / F.log(F.col("m"))).otherwise(0.0)
-        leaf = known.groupBy(*by).agg(F.avg(1 - F.least(seen, F.lit(1.0))).alias("content"), F.sum("n").alias("n"), F.first("chain").alias("chain"))
+        # lines by how often they occur, counted before the shuffle: a hot place has few such rows
+        often = lines.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("lines"), F.first("chain").alias("chain"))
+        known = often.join(kinds.select(*by, "m"), by)
+        new = 1 - F.least(F.when(F.col("m") > 1, F.log("n") / F.log(F.col("m"))).otherwise(0.0), F.lit(1.0))
+        mean = F.sum(new * F.col("lines")) / F.sum("lines")
+        leaf = known.groupBy(*by).agg(mean.alias("content"), F.sum(F.col("n") * F.col("lines")).alias("n"), F.first("chain").alias("chain"))
         above = [c for c in by if c != "node"]
         spread = leaf.select(*above, F.explode(F.array_distinct("chain")).alias("node"), "content", "n")
         below = spread.groupBy(*by).agg((F.sum(F.col("content") * F.col("n")) / F.sum("n")).alias("content"))
