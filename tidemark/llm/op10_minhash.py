@@ -42,7 +42,7 @@ TEXTS = 256
 #: Representatives that a mixed bucket gets in the first round; rounds go on until no bucket is mixed.
 REPRESENTATIVES = 64
 #: Members that are compared with one copy of their representative's text.
-CHUNK = 5_000
+CHUNK = 500
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
