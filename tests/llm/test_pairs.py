@@ -151,6 +151,25 @@ def test_op10_over_a_large_group_and_a_shared_passage(edits, spark):
     assert got == dict(enumerate(want))
     pairs = found.tested.count()
     assert pairs < len(texts) ** 2 / 8
+    holds_links(found, texts, want)
+
+
+def holds_links(found, texts, want):
+    """Links are between different texts, each once and as similar as it says; they connect every class, and are counted by text."""
+    links = [(min(a, b), max(a, b), s) for a, b, s in found.pairs().collect()]
+    sets = {i: bag for i, bag in enumerate(bags(texts))}
+    assert len({x[:2] for x in links}) == len(links)
+    assert all(texts[a] != texts[b] and similarity(sets[a], sets[b]) == pytest.approx(s) and s >= 0.8 for a, b, s in links)
+    rows = found.membership().collect()
+    head = {r.text_id: r.text_id for r in rows}
+    for _ in links:
+        for a, b, _ in links:
+            head[a] = head[b] = min(head[a], head[b])
+        if all(head[a] == head[b] for a, b, _ in links):
+            break
+    assert {r.doc_id: head[r.text_id] for r in rows} == dict(enumerate(want))
+    degree = collections.Counter(x for a, b, _ in links for x in (a, b))
+    assert all(r.n_links == degree[r.text_id] for r in rows)
 
 
 def test_op10_splits_a_mixed_bucket(spark):
@@ -159,8 +178,10 @@ def test_op10_splits_a_mixed_bucket(spark):
     step = lambda k: " ".join(base[4 * k :] + [f"n{i}" for i in range(4 * k)])
     texts = [step(k) for k in range(6)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in op10_minhash.Classes(docs, bands=60, rows=2).membership().collect()}
-    assert got == dict(enumerate(brute_classes(texts)))
+    found = op10_minhash.Classes(docs, bands=60, rows=2)
+    want = brute_classes(texts)
+    assert {r.doc_id: r.class_id for r in found.membership().collect()} == dict(enumerate(want))
+    holds_links(found, texts, want)
 
 
 def test_op10_edges(spark):
@@ -174,7 +195,9 @@ def test_op10_edges(spark):
     assert sum(r.keeps for r in rows) == 4
     kept = op10_minhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == 4
-    assert op10_minhash.Classes(docs.limit(0)).membership().count() == 0
+    assert {r.doc_id: r.n_links for r in rows if r.doc_id not in (8, None)} == {5: 0, 6: 0, 7: 0, 9: 1, 10: 1}
+    none = op10_minhash.Classes(docs.limit(0))
+    assert none.membership().count() == 0 and none.pairs().count() == 0
 
 
 def test_components(spark):

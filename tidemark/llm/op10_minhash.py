@@ -12,7 +12,8 @@ No bucket is expanded into pairs: its members are compared exactly with one repr
 most others over all buckets, and links join nodes into components. Where a bucket still has several components, the metric settles it: the distances to the
 representative of two linked texts differ by 1 - similarity at most, so the bucket is split at wider gaps; members whose
 own shingles leave too little to share go; and what stays mixed gets representatives from its smallest components, four times as many in each round, against members that can share enough, until every bucket
-has one component or all its members have been compared. No partner is left out and no count is capped.
+has one component or all its members have been compared. No partner is left out and no count is capped. The links
+found are a result too (``pairs``, and their number by document): they connect every class, without all pairs of it.
 
 Texts of bucket members only are read again, by their places. Pairs are dealt by representative, sorted, and compared
 as they stream by: the representative's text comes first and once for up to ``CHUNK`` members, so a representative of a
@@ -215,6 +216,18 @@ class Classes:
     def links(self) -> DataFrame:
         return self.tested.where(F.col("sim") >= self.similarity)
 
+    def _linked(self) -> DataFrame:
+        """a, b, sim of each link once: two representatives may have met each other twice."""
+        return self.links().groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
+
+    def pairs(self) -> DataFrame:
+        """text_a, text_b, similarity: the links that hold the classes together, between different texts named by their text_id.
+
+        Every class is connected by its links; pairs of one class that nothing had to compare are not among them.
+        """
+        of = lambda c: self.nodes.select(F.col("nid").alias(c), F.col("at.doc_id").alias(f"text_{c}"))
+        return self._linked().join(of("a"), "a").join(of("b"), "b").select("text_a", "text_b", F.col("sim").alias("similarity"))
+
     def _mixed(self, known: DataFrame) -> DataFrame:
         """Members of the buckets that have several components."""
         several = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
@@ -305,13 +318,15 @@ class Classes:
         return near.join(cut, "key").select(F.xxhash64("key", part).alias("key"), "nid", "rep", "bin", "size", "with_rep")
 
     def membership(self) -> DataFrame:
-        """path, row, doc_id, class_id (least doc_id of the class), text_id (least doc_id of the equal texts), keeps (one row of a class)."""
-        nodes = self.nodes.join(self.comps, "nid", "left").select("node", "at", F.coalesce("comp", "nid").alias("comp"))
+        """path, row, doc_id, class_id (least doc_id of the class), text_id (least doc_id of the equal texts), keeps (one row of a class), n_links (found from its text to others)."""
+        ends = self._linked().select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("n_links"))
+        nodes = self.nodes.join(self.comps, "nid", "left").join(ends, "nid", "left")
+        nodes = nodes.select("node", "at", F.coalesce("comp", "nid").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         heads = nodes.groupBy("comp").agg(F.min("at").alias("head"))
-        known = written(nodes.join(heads, "comp").select("node", "at", "head"), "classes")
+        known = written(nodes.join(heads, "comp").select("node", "at", "head", "n_links"), "classes")
         rows = self.sketch.select("node", "doc_id", "path", "row").join(known, "node")
         keeps = (F.col("head.path") == F.col("path")) & (F.col("head.row") == F.col("row"))
-        return rows.select("path", "row", "doc_id", F.col("head.doc_id").alias("class_id"), F.col("at.doc_id").alias("text_id"), keeps.alias("keeps"))
+        return rows.select("path", "row", "doc_id", F.col("head.doc_id").alias("class_id"), F.col("at.doc_id").alias("text_id"), keeps.alias("keeps"), "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -321,4 +336,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Classes(table(spark, sf_dir, "documents")).membership().select("doc_id", "class_id", "text_id", F.col("keeps").alias("kept"))
+    return Classes(table(spark, sf_dir, "documents")).membership().select("doc_id", "class_id", "text_id", F.col("keeps").alias("kept"), "n_links")
