@@ -56,6 +56,16 @@ def with_locator(docs: DataFrame, *cols: Column) -> DataFrame:
     return docs.select(*cols, F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
 
 
+def on_all_cores(scan: DataFrame) -> DataFrame:
+    """``scan`` (read from files, nothing shuffled) as it is if it has a split for each core; else its rows dealt to all cores.
+
+    A file of one row group is one task's, whatever work its rows make. What has fewer splits than the cluster has cores
+    is small beside the cluster, and only then are rows moved; results are the same.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that go to Python workers by rows and bytes, unless the session asks for less."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, blocks, located, mix, table, whole_text, with_locator, worker, written
+from .common import arrow_batches, blocks, located, mix, on_all_cores, table, whole_text, with_locator, worker, written
 from .rows import fetched, without
 from .shingles import shared_with, shingles, weighted, words
 
@@ -98,11 +98,11 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text_col: str, id_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """node (SHA-256 of the text), doc_id, path, row, bands (null without words) of every row; no shuffle."""
+    """node (SHA-256 of the text), doc_id, path, row, bands (null without words) of every row; rows move only if there are fewer splits than cores."""
     arrow_batches(docs.sparkSession)
     text = whole_text(text_col)
     inner = with_locator(docs, F.unhex(F.sha2(text.cast("binary"), 256)).alias("node"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    inner = inner.select("node", "doc_id", "path", "row", "text")
+    inner = on_all_cores(inner.select("node", "doc_id", "path", "row", "text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

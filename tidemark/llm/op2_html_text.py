@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, blocks, per_key, table, whole_text, worker, written
+from .common import arrow_batches, blocks, on_all_cores, per_key, table, whole_text, worker, written
 from .op9_url_filter import parsed
 
 # Fixed values of HTML.
@@ -280,5 +280,5 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = extract(on_all_cores(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, blocks, table, whole_text, worker
+from .common import arrow_batches, blocks, on_all_cores, table, whole_text, worker
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -110,7 +110,7 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str | None = Non
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = on_all_cores(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return digests(encode(docs))
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, blocks, located, mix, table, whole_text, with_locator, worker
+from .common import arrow_batches, blocks, located, on_all_cores, table, whole_text, with_locator, worker
 from .rows import without
 
 SIMILARITY, RECALL = 0.8, 0.95
@@ -381,6 +381,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     arrow_batches(docs.sparkSession)
     docs = located(docs)
     inner = with_locator(docs, F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text")).select("path", "row", "doc_id", "text")
+    inner = on_all_cores(inner)
     schema = "path string, row long, doc_id long, item_id long, distance int, start int, end int"
     names = ["path", "row", "doc_id", "item_id", "distance", "start", "end"]
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, blocks, located, per_key, table, whole_text, with_locator, worker, written
+from .common import arrow_batches, blocks, located, on_all_cores, per_key, table, whole_text, with_locator, worker, written
 from .rows import fetched, without
 
 SAMPLE, BUCKETS = 1_000, 1 << 14
@@ -126,12 +126,12 @@ def declared_in(text: Column) -> Column:
 
 
 def scored(docs: DataFrame, model: Model, id_col: str, text_col: str, host: Column, declared: Column | None) -> DataFrame:
-    """path, row, doc_id, host, suffix, declared, n, text_ll of every row; no shuffle."""
+    """path, row, doc_id, host, suffix, declared, n, text_ll of every row; rows move only if there are fewer splits than cores."""
     arrow_batches(docs.sparkSession)
     text = whole_text(text_col)
     says = declared_in(text) if declared is None else F.lower(F.substring(declared, 1, 2))
     inner = with_locator(docs, F.col(f"`{id_col}`").cast("long").alias("doc_id"), host.cast("string").alias("host"), says.alias("declared"), text.alias("text"))
-    inner = inner.select("path", "row", "doc_id", "host", "declared", "text")
+    inner = on_all_cores(inner.select("path", "row", "doc_id", "host", "declared", "text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = len(model.languages) + 1

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, blocks, table, whole_text, worker, written
+from .common import arrow_batches, blocks, on_all_cores, table, whole_text, worker, written
 
 WIDTH, STRIDE, EMBED, FILTERS = 12, 4, 8, 32
 SAMPLE, EPOCHS, BATCH, RATE, THRESHOLD = 4_000, 12, 32, 0.004, 0.7
@@ -163,5 +163,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = fit(docs, table(spark, sf_dir, "labels"))
     # only the text and the id go through the workers; the id takes no part in the score
-    scored = score(docs.select("doc_id", "text"), net).select("doc_id", F.round("score", 6).alias("score"))
+    scored = score(on_all_cores(docs), net).select("doc_id", F.round("score", 6).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
