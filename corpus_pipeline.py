@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import op1_exact_dedup, op3_sentencepiece, op6_decontaminate, op7_language_id, op10_minhash
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import on_all_cores, scratch, table
 from tidemark.storage import temporary
 
 
@@ -36,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and of the decoded text."""
-    return op3_sentencepiece.digests(op3_sentencepiece.encode(docs.select("doc_id", "text")))
+    return op3_sentencepiece.digests(op3_sentencepiece.encode(on_all_cores(docs.select("doc_id", "text"))))
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("decontamination", decontaminate), ("tokens", tokenise)]
