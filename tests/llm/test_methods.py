@@ -31,6 +31,31 @@ def test_rows_by_place(group_bytes, spark, monkeypatch):
     assert places.without(docs, wanted.limit(0)).count() == 100_000 and places.fetched(docs, wanted.limit(0), F.col("id")).count() == 0
 
 
+def test_scans_of_few_splits_are_dealt_to_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, null, cast(id % 10 as string)) as text")
+    one = common.written(rows.coalesce(1), "docs")
+    inner = common.with_locator(one, F.col("id"), F.col("text")).select("path", "row", "id", "text")
+    dealt = common.on_all_cores(inner)
+    assert dealt.columns == inner.columns and "RoundRobinPartitioning" in plan(dealt)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == cores and max(sizes) - min(sizes) <= 1
+    found = lambda df: sorted(map(repr, df.collect()))
+    assert found(dealt) == found(inner)
+    empty = common.on_all_cores(common.written(rows.limit(0), "docs"))
+    assert empty.columns == rows.columns and empty.count() == 0
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:  # a split for each file
+        for k in before:
+            spark.conf.set(k, "1")
+        many = common.written(rows.repartition(cores), "docs")
+        assert common.on_all_cores(many) is many
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_no_text_but_the_wanted_is_shuffled(spark):
     docs = common.written(spark.range(1000).selectExpr("id", "repeat('x', 100) as text"), "docs")
     wanted = common.with_locator(docs, F.col("id")).where("id = 5").select("path", "row")
